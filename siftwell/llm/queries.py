@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.llm import decontaminate, html, jpeg, mixing, quality, store, tokens, toxicity, warc
+from siftwell.llm import decontaminate, html, jpeg, mixing, ngram_join, quality, store, substring, tokens, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,5 +50,13 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents").select("doc_id", "source"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_decontaminate, op3_toxicity, op4_quality, op5_media, op6_warc, op7_html_text, op8_mix_sources)}
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.classes(_table(spark, sf_dir, "documents")).drop("class_id")
+
+
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.report(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_decontaminate, op3_toxicity, op4_quality, op5_media, op6_warc, op7_html_text, op8_mix_sources, op9_ngram_join, op10_substring_dedup)}
 ORACLE: dict[str, str] = {}
