@@ -6,8 +6,9 @@ wholly. Fragments therefore meet separately, by the digest of what a set holds t
 candidates. A parity bitmap gives each candidate pair a lower bound of its difference; the pairs that remain are verified by
 counting partial overlaps fragment by fragment and summing them per pair, stopping once the difference is too large.
 
-No group is expanded into all its pairs. First each bucket gives a spanning forest of its likely pairs; verified links are
-contracted; then only pairs across different components are still examined, all of them, so no link between components is lost.
+No group is expanded into all its pairs. In two rounds (a quarter of the buckets, then all) each bucket gives a spanning forest of
+its likely pairs across components; verified links are contracted; then the pairs that still cross components are examined, all
+of them, so no link between components is lost.
 Buckets of more than `block` members are dealt into pairs of blocks over many tasks.
 
 Words are split at ASCII white space after lower-casing A-Z. With fewer than n words the whole sequence is one n-gram; null,
@@ -86,8 +87,8 @@ def describe(rule: Rule, hashes: np.ndarray) -> tuple[int, int | None, np.ndarra
 
 
 def bitmap(g: np.ndarray) -> bytes:
-    """Parity of the n-grams falling on each of 128 to 4096 bits."""
-    bits = min(4096, max(128, 1 << (len(g) // 2).bit_length()))
+    """Parity of the n-grams falling on each of 128 to 8192 bits, more bits than n-grams up to there."""
+    bits = min(8192, max(128, 1 << len(g).bit_length()))
     odd = np.bincount((g & W.U(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
@@ -109,21 +110,23 @@ def likely(rule: Rule, a: int, b: int, x: int, y: int) -> bool:
     return a * rule.den >= b * rule.num and b * rule.den >= a * rule.num and (x ^ y).bit_count() <= rule.difference(a + b)
 
 
-def forest(rule: Rule, sizes: list[int], maps: list[int]) -> list[tuple[int, int]]:
-    """A spanning forest of the likely pairs."""
-    left, out = list(range(len(sizes))), []
-    while left:
-        queue = [left.pop()]
-        while queue:
-            u = queue.pop()
-            stay = []
-            for v in left:
-                if likely(rule, sizes[u], sizes[v], maps[u], maps[v]):
-                    out.append((u, v))
-                    queue.append(v)
-                else:
-                    stay.append(v)
-            left = stay
+def forest(rule: Rule, sizes: list[int], maps: list[int], roots: list[int]) -> list[tuple[int, int]]:
+    """A spanning forest, over components, of the likely pairs."""
+    up = {r: r for r in roots}
+
+    def find(x: int) -> int:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    out = []
+    for u in range(len(sizes)):
+        for v in range(u):
+            a, b = find(roots[u]), find(roots[v])
+            if a != b and likely(rule, sizes[u], sizes[v], maps[u], maps[v]):
+                up[a] = b
+                out.append((u, v))
     return out
 
 
@@ -146,14 +149,14 @@ def _emit(pairs: set[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def forest_pairs(rule: Rule, members: DataFrame) -> DataFrame:
-    """members (key, sig, n, bitmap), of any bucket size. Pairs to verify first; any likely pair left out is still found later."""
+    """members (key, sig, n, bitmap, root), of any bucket size. Pairs to verify first; any likely pair left out is still found later."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: set[tuple[int, int]] = set()
         for group in _groups(parts):
             for i in range(0, len(group), rule.block):
                 rows = group[i : i + rule.block]
-                for u, v in forest(rule, [r[2] for r in rows], _fold([r[3] for r in rows])):
+                for u, v in forest(rule, [r[2] for r in rows], _fold([r[3] for r in rows]), [r[4] for r in rows]):
                     a, b = rows[u][1], rows[v][1]
                     out.add((min(a, b), max(a, b)))
             if len(out) > 200_000:
@@ -161,7 +164,7 @@ def forest_pairs(rule: Rule, members: DataFrame) -> DataFrame:
                 out = set()
         yield _emit(out)
 
-    dealt = members.select("key", "sig", "n", "bitmap").repartition("key").sortWithinPartitions("key", "sig")
+    dealt = members.select("key", "sig", "n", "bitmap", "root").repartition("key").sortWithinPartitions("key", "sig")
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
@@ -263,26 +266,33 @@ def classes(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:  # noqa: B008
     one = texts.read().select("sig", "n", "bitmap", "text").dropDuplicates(["sig"]) if _repeats(docs) else texts.read()
     shape = one.select("sig", "n", "bitmap")
 
-    some = held.read().where(F.pmod("key", F.lit(4)) == 0).join(shape, "sig")
-    pairs = store.Table(forest_pairs(rule, some), "ngram-pairs")
-    store.release(spark)
-    links = store.Table(verify(rule, pairs.read(), one.select("sig", "text")), "ngram-links")
-    pairs.drop()
-    store.release(spark)
-    roots = buckets.components(links.read())
-
-    rooted = held.read().join(roots.read().toDF("sig", "root"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
-    mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    across = store.Table(cross_pairs(rule, rooted.join(mixed.hint("shuffle_hash"), "key").join(shape, "sig")), "ngram-pairs")
-    store.release(spark)
-    more = store.Table(verify(rule, across.read(), one.select("sig", "text")), "ngram-links")
-    across.drop()
-    store.release(spark)
-    final = buckets.components(roots.read().toDF("a", "b").union(more.read()))
-    for t in (links, more, roots, held, texts):
+    def linked(pairs: DataFrame) -> store.Table:
+        pairs = store.Table(pairs, "ngram-pairs")
+        store.release(spark)
+        links = store.Table(verify(rule, pairs.read(), one.select("sig", "text")), "ngram-links")
+        pairs.drop()
+        store.release(spark)
+        return links
+
+    def across(roots: store.Table) -> DataFrame:
+        """Members of the buckets that hold more than one component."""
+        rooted = held.read().join(roots.read().toDF("sig", "root"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
+        mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+        return rooted.join(mixed.hint("shuffle_hash"), "key").join(shape, "sig")
+
+    some = held.read().where(F.pmod("key", F.lit(4)) == 0).join(shape, "sig").withColumn("root", F.col("sig"))
+    roots = None
+    for find in (lambda _: forest_pairs(rule, some), lambda r: forest_pairs(rule, across(r)), lambda r: cross_pairs(rule, across(r))):
+        links = linked(find(roots))
+        found = buckets.components(links.read().toDF("a", "b") if roots is None else roots.read().toDF("a", "b").union(links.read()))
+        for t in (links, roots):
+            if t is not None:
+                t.drop()
+        roots = found
+    for t in (held, texts):
         t.drop()
 
-    group = final.read().toDF("sig", "root")
+    group = roots.read().toDF("sig", "root")
     group = group.union(group.select(F.col("root").alias("sig"), "root")).distinct()
     least = group.join(first, "sig").groupBy("root").agg(F.min("class_id").alias("component_id"))
     found = store.Table(group.join(least, "root").select("sig", "component_id"), "ngram-components")
