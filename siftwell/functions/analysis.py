@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SPACE = r"(?U)\s"
@@ -36,22 +36,6 @@ class Analyzer:
             text = f(text)
         return F.split(text, self.separator, -1)
 
-    def tokens(self, text: Column) -> Column:
-        """array<struct<term, pos, start, end>>; pos counts tokens before stop words go, offsets are code points of the text."""
-        parts = self.raw(text)
-        # (pieces so far, next offset): the separators are one character each
-        empty = F.lit([]).cast("array<struct<term:string,start:int,end:int>>")
-        seen = F.aggregate(
-            parts, F.struct(empty.alias("out"), F.lit(0).alias("at")),
-            lambda acc, t: F.struct(
-                F.concat(acc["out"], F.array(F.struct(t.alias("term"), acc["at"].alias("start"), (acc["at"] + F.length(t)).alias("end")))).alias("out"),
-                (acc["at"] + F.length(t) + 1).alias("at"),
-            ),
-        )["out"]
-        kept = seen if self.keep_empty else F.filter(seen, lambda x: x["term"] != "")
-        placed = F.transform(kept, lambda x, i: F.struct(self.normal(x["term"]).alias("term"), i.alias("pos"), x["start"].alias("start"), x["end"].alias("end")))
-        return F.filter(placed, lambda x: self.wanted(x["term"]))
-
     def terms(self, text: Column) -> Column:
         """array<string>, without positions: the cheap form when nothing asks for them."""
         terms = F.transform(self.raw(text), self.normal)
@@ -82,6 +66,20 @@ def stop_analyzer(words: Iterable[str]) -> Analyzer:
     return Analyzer(stop=frozenset(words))
 
 
-def token_table(df: DataFrame, id_col: str, text_col: str, analyzer: Analyzer = STANDARD) -> DataFrame:
-    """One row per token: id, term, pos, start, end."""
-    return df.select(F.col(id_col), F.inline(analyzer.tokens(F.col(text_col))))
+def token_table(df: DataFrame, id_col: str, text_col: str, analyzer: Analyzer = STANDARD, gap: int = 0) -> DataFrame:
+    """One row per token: id, term, pos, start, end. Rows need distinct ids.
+
+    pos counts tokens before stop words go; start and end are code points of the text. The values of an array column follow one
+    another, gap positions and one code point apart. Offsets are running sums over a document's pieces, linear in its length."""
+    values = F.col(text_col) if df.schema[text_col].dataType.typeName() == "array" else F.array(text_col)
+    values = F.filter(values, lambda v: v.isNotNull()).cast("array<string>")
+    pieces = df.select(id_col, F.posexplode(values).alias("v", "s")).select(id_col, "v", F.posexplode(analyzer.raw(F.col("s"))).alias("i", "raw"))
+    order = Window.partitionBy(id_col).orderBy("v", "i")
+    kept = F.lit(True) if analyzer.keep_empty else F.col("raw") != ""
+    size = F.length("raw")
+    placed = pieces.withColumns({
+        "start": (F.sum(size + 1).over(order) - size - 1).cast("int"),
+        "pos": (F.sum(kept.cast("int")).over(order) - 1 + F.col("v") * gap).cast("int"),
+    }).where(kept)
+    out = placed.select(id_col, analyzer.normal(F.col("raw")).alias("term"), "pos", "start", (F.col("start") + size).alias("end"))
+    return out.where(analyzer.wanted(F.col("term")))

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftwell.functions.analysis import STANDARD, Analyzer
+from siftwell.functions.analysis import STANDARD, Analyzer, token_table
 
 MAX_TERM_BYTES = 32766
 
@@ -53,22 +53,12 @@ def postings_of(docs: DataFrame, fields: dict[str, FieldConfig]) -> DataFrame:
         values = F.col(name) if kind == "array" else F.array(F.col(name))
         values = F.filter(values, lambda v: v.isNotNull())
         if isinstance(config, Keyword):
-            part = docs.select(F.lit(name).alias("field"), F.explode(F.array_distinct(values)).cast("string").alias("term"), "doc_id").withColumns({"tf": F.lit(1), "dl": F.lit(1)})
+            part = docs.select(F.lit(name).alias("field"), F.explode(F.array_distinct(values).cast("array<string>")).alias("term"), "doc_id").withColumns({"tf": F.lit(1), "dl": F.lit(1)})
             part = part.withColumns({c: F.lit(None).cast("array<int>") for c in ("positions", "starts", "ends")})
         elif config.positions:
-            one = config.analyzer.tokens
-            shape = "array<struct<term:string,pos:int,start:int,end:int>>"
-            start = F.struct(F.lit([]).cast(shape).alias("out"), F.lit(0).alias("pos"), F.lit(0).alias("at"))
-            joined = F.aggregate(
-                values.cast("array<string>"), start,
-                lambda acc, v: F.struct(
-                    F.concat(acc["out"], F.transform(one(v), lambda t: F.struct(t["term"].alias("term"), (t["pos"] + acc["pos"]).cast("int").alias("pos"), (t["start"] + acc["at"]).cast("int").alias("start"), (t["end"] + acc["at"]).cast("int").alias("end")))).alias("out"),
-                    (acc["pos"] + F.coalesce(F.array_max(F.transform(one(v), lambda t: t["pos"])) + 1, F.lit(0)) + config.gap).cast("int").alias("pos"),
-                    (acc["at"] + F.length(v) + 1).cast("int").alias("at"),
-                ),
-            )["out"]
-            part = docs.select("doc_id", joined.alias("t")).select("doc_id", F.size("t").alias("dl"), F.explode("t").alias("t"))
-            part = part.groupBy("doc_id", F.col("t.term").alias("term")).agg(F.first("dl").alias("dl"), F.count("*").cast("int").alias("tf"), F.sort_array(F.collect_list(F.struct("t.pos", "t.start", "t.end"))).alias("p"))
+            rows = token_table(docs, "doc_id", name, config.analyzer, config.gap)
+            part = rows.groupBy("doc_id", "term").agg(F.count("*").cast("int").alias("tf"), F.sort_array(F.collect_list(F.struct("pos", "start", "end"))).alias("p"))
+            part = part.withColumn("dl", F.sum("tf").over(Window.partitionBy("doc_id")).cast("int"))
             part = part.select(F.lit(name).alias("field"), "term", "doc_id", "tf", "dl", F.col("p.pos").alias("positions"), F.col("p.start").alias("starts"), F.col("p.end").alias("ends"))
         else:
             terms = F.flatten(F.transform(values.cast("array<string>"), config.analyzer.terms))
