@@ -177,6 +177,8 @@ def clean(docs: DataFrame, benchmark: DataFrame, n: int = 8, min_items: int = 2)
     doc_id must identify a row. n_chars, if present, follows the cut text."""
     hits = scan(docs, benchmark, n).where(F.size("items") > 0).select("doc_id", F.size("items").alias("__items"), F.col("spans").alias("__spans"))
     kept = docs.join(hits, "doc_id", "left").where(F.coalesce("__items", F.lit(0)) < min_items)
-    text = F.when(F.col("__spans").isNull(), F.col("text")).otherwise(cut(F.col("text"), F.col("__spans")))
-    changed = {"text": text} | ({"n_chars": F.when(F.col("__spans").isNull(), F.col("n_chars")).otherwise(F.length(text).cast(docs.schema["n_chars"].dataType))} if "n_chars" in docs.columns else {})
-    return kept.withColumns(changed).select(*docs.columns)
+    kept = kept.withColumn("__text", F.when(F.col("__spans").isNull(), F.col("text")).otherwise(cut(F.col("text"), F.col("__spans"))))
+    changed = {"text": F.col("__text")}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.when(F.col("__spans").isNull(), F.col("n_chars")).otherwise(F.length("__text").cast(docs.schema["n_chars"].dataType))
+    return kept.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in docs.columns])
