@@ -87,8 +87,8 @@ def describe(rule: Rule, hashes: np.ndarray) -> tuple[int, int | None, np.ndarra
 
 
 def bitmap(g: np.ndarray) -> bytes:
-    """Parity of the n-grams falling on each of 128 to 8192 bits, more bits than n-grams up to there."""
-    bits = min(8192, max(128, 1 << len(g).bit_length()))
+    """Parity of the n-grams falling on each of 1024 to 32768 bits, over eight bits an n-gram up to there: few differences cancel."""
+    bits = min(32768, max(1024, 8 << len(g).bit_length()))
     odd = np.bincount((g & W.U(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
