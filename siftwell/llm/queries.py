@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.llm import decontaminate, html, jpeg, mixing, ngram_join, quality, store, substring, tokens, toxicity, warc
+from siftwell.llm import decontaminate, html, jpeg, mixing, ngram_join, oracle, quality, store, substring, tokens, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,4 +59,4 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_token_counts, op2_decontaminate, op3_toxicity, op4_quality, op5_media, op6_warc, op7_html_text, op8_mix_sources, op9_ngram_join, op10_substring_dedup)}
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = oracle.ORACLE
