@@ -221,6 +221,23 @@ def test_mixing(docs, rows, empty):
     assert mixing.mix(empty).count() == 0
 
 
+def test_mixing_keeps_to_the_weights_over_many_frames(spark):
+    docs = spark.range(60_000).selectExpr("id as doc_id", "case when id < 800 then 'rare' when id % 3 = 0 then 'hot' else concat('s', id % 19) end as source")
+    n = {r[0]: r[1] for r in docs.groupBy("source").count().collect()}
+    for weights in (None, {s: 3e-4 if s == "rare" else 0.37 if s == "hot" else 0.03 + 0.0017 * int(s[1:]) for s in n}):
+        w = weights or {s: k**0.5 for s, k in n.items()}
+        total = sum(w.values())
+        end = int(min(n[s] / w[s] for s in n) * total)
+        seen = {}
+        for r in mixing.mix(docs, weights, block_rows=1).collect():
+            seen.setdefault(r.source, []).append(r.mix_slot)
+        assert {s: len(x) for s, x in seen.items()} == n and end > 20_000
+        for s, slots in seen.items():
+            slots = [t for t in sorted(slots) if t < end]
+            # before and after each slot of the source, where the deviation is largest
+            assert all(abs(k - t * w[s] / total) < 1 + 1e-4 and abs(k + 1 - (t + 1) * w[s] / total) < 1 + 1e-4 for k, t in enumerate(slots)), s
+
+
 def test_classifiers(spark):
     r = random.Random(1)
     bad = ["grumbo", "fleevix"]
