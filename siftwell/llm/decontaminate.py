@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from siftwell.llm import words as W
 
@@ -83,15 +84,28 @@ def _arrow(schema: str) -> pa.Schema:
     return pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])))])
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, n: int = 8, broadcast_bytes: int = 64 << 20) -> DataFrame:
-    """Returns doc_id, n_words, n_hit, items (sorted as strings) and spans (byte ranges of runs of hit words)."""
+def _whole(docs: DataFrame) -> StructType:
+    return StructType(docs.schema.fields + [StructField(f"__{f.name}", f.dataType) for f in StructType.fromDDL(SCHEMA).fields[1:]])
+
+
+def _beside(part: pa.RecordBatch, rows: list[dict], width: int) -> pa.RecordBatch:
+    """Results beside the first `width` columns of the rows they come from."""
+    found = pa.RecordBatch.from_pylist(rows, _arrow(SCHEMA))
+    names = part.schema.names[:width] + [f"__{c}" for c in found.schema.names[1:]]
+    return pa.RecordBatch.from_arrays(part.columns[:width] + found.columns[1:], names=names)
+
+
+def scan(docs: DataFrame, benchmark: DataFrame, n: int = 8, broadcast_bytes: int = 64 << 20, whole: bool = False) -> DataFrame:
+    """Returns doc_id, n_words, n_hit, items (sorted as strings) and spans (byte ranges of runs of hit words).
+
+    With `whole`, results stand beside all columns of their row (doc_id and text first), under names that begin with __."""
     bench = benchmark.select(F.col("item_id").cast("string").alias("item"), "text").where("text is not null and item is not null")
     size = bench.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0]
-    docs = docs.select("doc_id", "text")
-    return _scan_broadcast(docs, bench, n) if size <= broadcast_bytes else _scan_joined(docs, bench, n)
+    docs = docs.select("doc_id", "text", *([c for c in docs.columns if c not in ("doc_id", "text")] if whole else []))
+    return (_scan_broadcast if size <= broadcast_bytes else _scan_joined)(docs, bench, n, whole)
 
 
-def _scan_broadcast(docs: DataFrame, bench: DataFrame, n: int) -> DataFrame:
+def _scan_broadcast(docs: DataFrame, bench: DataFrame, n: int, whole: bool) -> DataFrame:
     windows: dict[tuple[bytes, ...], set[str]] = {}
     for item, text in bench.collect():
         for w in item_windows(text, n):
@@ -103,9 +117,11 @@ def _scan_broadcast(docs: DataFrame, bench: DataFrame, n: int) -> DataFrame:
         for part in parts:
             ids, texts = part.column(0).to_pylist(), [t.translate(FOLD) for t in W.utf8(part.column(1))]
             for i, j, batch in W.batches(texts, W.ALNUM):
-                yield pa.RecordBatch.from_pylist(_rows(ids[i:j], batch, known.scan(batch)), _arrow(SCHEMA))
+                rows = _rows(ids[i:j], batch, known.scan(batch))
+                yield _beside(part.slice(i, j - i), rows, width) if whole else pa.RecordBatch.from_pylist(rows, _arrow(SCHEMA))
 
-    return docs.mapInArrow(run, SCHEMA)
+    width = len(docs.columns)
+    return docs.mapInArrow(run, _whole(docs) if whole else SCHEMA)
 
 
 def _hashes(texts: list[bytes], lengths: list[int]) -> list[list[int]]:
@@ -116,7 +132,7 @@ def _hashes(texts: list[bytes], lengths: list[int]) -> list[list[int]]:
     return out
 
 
-def _scan_joined(docs: DataFrame, bench: DataFrame, n: int) -> DataFrame:
+def _scan_joined(docs: DataFrame, bench: DataFrame, n: int, whole: bool) -> DataFrame:
     """For a benchmark too large to broadcast: windows and documents meet by window hash; rows of a hot window are only (doc, hash)."""
     item_schema = "item string, length int, hash long, words binary"
 
@@ -137,21 +153,23 @@ def _scan_joined(docs: DataFrame, bench: DataFrame, n: int) -> DataFrame:
             texts = [t.translate(FOLD) for t in W.utf8(part.column(1))]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(_hashes(texts, lengths), pa.list_(pa.int64()))], names=["doc_id", "hashes"])
 
-    keyed = docs.mapInArrow(doc_hashes, "doc_id long, hashes array<long>").select("doc_id", F.explode("hashes").alias("hash"))
-    per_doc = keyed.distinct().join(known, "hash").groupBy("doc_id").agg(F.collect_list(F.struct("item", "words")).alias("candidates"))
+    keyed = docs.select("doc_id", "text").mapInArrow(doc_hashes, "doc_id long, hashes array<long>").select("doc_id", F.explode("hashes").alias("hash"))
+    per_doc = keyed.distinct().join(known, "hash").groupBy("doc_id").agg(F.collect_list(F.struct("item", "words")).alias("__candidates")).withColumnRenamed("doc_id", "__id")
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             rows = []
-            for doc_id, text, candidates in zip(part.column(0).to_pylist(), W.utf8(part.column(1)), part.column(2).to_pylist(), strict=True):
+            for doc_id, text, candidates in zip(part.column(0).to_pylist(), W.utf8(part.column(1)), part.column(width).to_pylist(), strict=True):
                 windows: dict[tuple[bytes, ...], list[str]] = {}
                 for c in candidates or []:
                     windows.setdefault(tuple(c["words"].split()), []).append(c["item"])
                 batch = W.Batch([text.translate(FOLD)], W.ALNUM)
                 rows += _rows([doc_id], batch, WindowSet(windows).scan(batch))
-            yield pa.RecordBatch.from_pylist(rows, _arrow(SCHEMA))
+            yield _beside(part, rows, width) if whole else pa.RecordBatch.from_pylist(rows, _arrow(SCHEMA))
 
-    return docs.join(per_doc, "doc_id", "left").select("doc_id", "text", "candidates").mapInArrow(run, SCHEMA)
+    width = len(docs.columns)
+    joined = docs.join(per_doc, F.col("doc_id").eqNullSafe(F.col("__id")), "left").select(*docs.columns, "__candidates")
+    return joined.mapInArrow(run, _whole(docs) if whole else SCHEMA)
 
 
 def report(docs: DataFrame, benchmark: DataFrame, n: int = 8, min_items: int = 2) -> DataFrame:
@@ -172,13 +190,13 @@ def cut(text: F.Column, spans: F.Column) -> F.Column:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, n: int = 8, min_items: int = 2) -> DataFrame:
-    """Documents with windows of `min_items` or more items go; from others the runs of hit words are cut. Columns stay as they are.
+    """Rows with windows of `min_items` or more items go; from others the runs of hit words are cut. Columns stay as they are.
 
-    doc_id must identify a row. n_chars, if present, follows the cut text."""
-    hits = scan(docs, benchmark, n).where(F.size("items") > 0).select("doc_id", F.size("items").alias("__items"), F.col("spans").alias("__spans"))
-    kept = docs.join(hits, "doc_id", "left").where(F.coalesce("__items", F.lit(0)) < min_items)
-    kept = kept.withColumn("__text", F.when(F.col("__spans").isNull(), F.col("text")).otherwise(cut(F.col("text"), F.col("__spans"))))
+    Each row is judged by its own text, whether its doc_id is null, repeated or neither. n_chars, if present, follows the cut text."""
+    kept = scan(docs, benchmark, n, whole=True).where(F.size("__items") < min_items)
+    hit = F.size("__spans") > 0
+    kept = kept.withColumn("__text", cut(F.col("text"), F.col("__spans")))
     changed = {"text": F.col("__text")}
     if "n_chars" in docs.columns:
-        changed["n_chars"] = F.when(F.col("__spans").isNull(), F.col("n_chars")).otherwise(F.length("__text").cast(docs.schema["n_chars"].dataType))
+        changed["n_chars"] = F.when(hit, F.length("__text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
     return kept.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in docs.columns])

@@ -237,8 +237,32 @@ def verify(rule: Rule, pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
+def numbered(docs: DataFrame) -> tuple[DataFrame, int | None]:
+    """Rows with a null doc_id get numbers of their own, beyond every doc_id, from the returned one on (None: no such rows)."""
+    nulls = docs.where("doc_id is null")
+    if not nulls.limit(1).count():
+        return docs, None
+    first = (docs.agg(F.max("doc_id")).first()[0] or 0) + 1
+    if first >= 1 << 62:
+        raise ValueError("null doc_ids beside doc_ids of 2^62 or more")
+    first = max(first, 0)
+    # written, so that the numbers don't change when the rows are read again
+    own = store.Table(nulls.withColumn("doc_id", F.monotonically_increasing_id() + first), "ngram-null-ids")
+    return docs.where("doc_id is not null").unionByName(own.read()), first
+
+
 def classes(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:  # noqa: B008
-    """Returns doc_id, n_shingles, class_id (smallest doc_id with the same set) and component_id (smallest doc_id reachable)."""
+    """Returns doc_id, n_shingles, class_id (smallest doc_id with the same set) and component_id (smallest doc_id reachable).
+
+    Rows with a null doc_id are nodes like others; class_id and component_id are null where no row there has a doc_id."""
+    docs, first = numbered(docs)
+    found = _classes(docs, rule)
+    if first is None:
+        return found
+    return found.select(*(c if c == "n_shingles" else F.when(F.col(c) < first, F.col(c)).alias(c) for c in found.columns))
+
+
+def _classes(docs: DataFrame, rule: Rule) -> DataFrame:
     spark = docs.sparkSession
     nodes = store.Table(buckets.keyed_nodes(docs, lambda h: describe(rule, h), W.NON_SPACE, FOLD), "ngram-nodes")
     held = buckets.shared_keys(nodes.read())
@@ -307,6 +331,12 @@ def _repeats(docs: DataFrame) -> bool:
 
 
 def keep_one(docs: DataFrame, rule: Rule = Rule(5, 8, 10)) -> DataFrame:  # noqa: B008
-    """The documents that are the smallest of their component, columns as they are; doc_id must identify a row."""
-    kept = classes(docs, rule).where("component_id = doc_id").select("doc_id").distinct()
-    return docs.join(kept.hint("shuffle_hash"), "doc_id", "left_semi").select(*docs.columns)
+    """The rows whose doc_id is the smallest of their component, columns as they are.
+
+    Rows with a null doc_id come after all others: one stays of a component that has no doc_id. Rows that repeat a doc_id stay together."""
+    rows, first = numbered(docs)
+    kept = _classes(rows, rule).where("component_id = doc_id").select("doc_id").distinct()
+    rows = rows.join(kept.hint("shuffle_hash"), "doc_id", "left_semi")
+    if first is not None:
+        rows = rows.withColumn("doc_id", F.when(F.col("doc_id") < first, F.col("doc_id")).cast(docs.schema["doc_id"].dataType))
+    return rows.select(*docs.columns)

@@ -238,6 +238,29 @@ def test_mixing_keeps_to_the_weights_over_many_frames(spark):
             assert all(abs(k - t * w[s] / total) < 1 + 1e-4 and abs(k + 1 - (t + 1) * w[s] / total) < 1 + 1e-4 for k, t in enumerate(slots)), s
 
 
+def test_null_and_repeated_ids_in_join_and_decontamination(spark):
+    r = random.Random(7)
+    base, alone, item = words(r, 120), words(r, 80), words(r, 40)
+    near, middle, far = base + " x1", base + " x1 " + " ".join(f"y{i}" for i in range(20)), base + " x1 " + " ".join(f"y{i}" for i in range(40))
+    data = [(1, base), (None, near), (None, alone), (None, alone), (5, alone + " z"), (None, None), (7, words(r, 50)), (7, words(random.Random(8), 50)), (None, words(r, 60)), (None, "")]
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(data)], "doc_id long, text string, k int")
+    assert sorted(x.k for x in ngram_join.keep_one(docs).collect()) == [0, 4, 5, 6, 7, 8, 9]
+    pair = spark.createDataFrame([(None, alone, 0), (None, alone + " z", 1), (None, alone, 2)], docs.schema)
+    assert ngram_join.keep_one(pair).count() == 1
+    chain = spark.createDataFrame([(1, base), (None, middle), (3, far)], "doc_id long, text string")
+    got = {x.doc_id: x.component_id for x in ngram_join.classes(chain, ngram_join.Rule(5, 8, 10)).collect()}
+    assert got == {1: 1, None: 1, 3: 1}
+
+    bench = spark.createDataFrame([(1, item), (2, words(r, 40))], "item_id long, text string")
+    both = item + " " + bench.collect()[1].text
+    data = [(1, "q " + item + " r"), (1, "q " + item + " r"), (None, both), (None, "clean"), (3, both), (4, None), (None, "s " + item)]
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(data)], "doc_id long, text string, k int")
+    want = [(1, "q  r", 0), (1, "q  r", 1), (None, "clean", 3), (4, None, 5), (None, "s ", 6)]
+    assert sorted((tuple(x) for x in decontaminate.clean(docs, bench).collect()), key=lambda x: x[2]) == want
+    shuffled = decontaminate.scan(docs, bench, broadcast_bytes=0, whole=True).collect()
+    assert {x.k: len(x["__items"]) for x in shuffled} == {0: 1, 1: 1, 2: 2, 3: 0, 4: 2, 5: 0, 6: 1}
+
+
 def test_classifiers(spark):
     r = random.Random(1)
     bad = ["grumbo", "fleevix"]
