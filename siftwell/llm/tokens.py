@@ -71,6 +71,10 @@ def count_tokens(docs: DataFrame, model_path: str, cache: DigestCache, batch_byt
     known = cache.read(tokenizer).select("digest", F.lit(True).alias("known")).distinct()
     misses = keyed.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.min("n_bytes").alias("__bytes")).join(known, "digest", "left_anti")
     texts = docs.select("doc_id", text.alias("text")).join(misses.hint("shuffle_hash"), "doc_id").where(F.octet_length("text") == F.col("__bytes"))
+    if docs.where("doc_id is null").limit(1).count():  # texts that stand under no doc_id are found by digest
+        lone = misses.where("doc_id is null").select("digest")
+        own = docs.where("doc_id is null").select(F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest"), text.alias("text"))
+        texts = texts.select("digest", "text").union(own.join(lone, "digest", "left_semi").dropDuplicates(["digest"]))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(model_path)

@@ -154,6 +154,17 @@ def test_token_counts_and_cache(spark, docs, rows, tmp_path):
     assert cache.read(tokens.tokenizer_digest(path)).count() == len({t or "" for _, t, *_ in rows})
 
 
+def test_token_counts_of_null_ids(spark, tmp_path):
+    import public_tokenizers
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    cache = tokens.DigestCache(spark, str(tmp_path / "cache"))
+    docs = spark.createDataFrame([(None, "only here"), (None, "only here"), (None, "only thee"), (None, "also one"), (1, "also one"), (None, None)], "doc_id long, text string")
+    got = tokens.count_tokens(docs, path, cache).collect()
+    assert len(got) == 6 and all((r.n_tokens > 0) == (r.n_bytes > 0) for r in got)
+    assert cache.read(tokens.tokenizer_digest(path)).count() == 4
+
+
 def test_media_round_trip(docs, rows):
     got = {r.doc_id: r for r in jpeg.media_columns(docs, with_media=True, with_tensor=True).collect()}
     for i, t, *_ in rows:
