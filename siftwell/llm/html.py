@@ -5,6 +5,9 @@ one plus its commas plus up to three for length, discounted by the share of its
 parent, half to the grandparent, less beyond. The ancestor with the most points, or the article around it, is kept with those of
 its siblings that score well or read like prose.
 
+A class or id word may also name what a wrapper has (`has-sidebar`, `no-comments`). An element cut for such a word alone is spared
+where no article or main lies outside it and it holds one, or most of the page's text outside links.
+
 Null and empty html give an empty text; damaged markup is closed where it breaks off; repeated rows and other columns don't matter.
 """
 
@@ -116,16 +119,55 @@ def unwanted(node: Node) -> bool:
         return False
     if "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", "")) or found.get("role") in ROLES:
         return True
+    return False
+
+
+def named(node: Node) -> int:
+    """2: a class or the id is a bad word; 1: one contains such a word; 0: neither."""
+    if not node.attributes or node.attributes == "/" or node.tag in KEEP:
+        return 0
+    found = {(m[1] or m[3]).lower(): (m[2] or "").strip("\"'").lower() for m in ATTRIBUTE.finditer(node.attributes)}
     names = f"{found.get('class', '')} {found.get('id', '')}"
-    return any(w in BAD_WORDS for w in re.split(r"[^a-z]+", names)) if names != " " else False
+    if not any(w in BAD_WORDS for w in re.split(r"[^a-z]+", names)):
+        return 0
+    return 2 if any(w in BAD_WORDS for w in names.split()) else 1
+
+
+def by_name(root: Node) -> set[int]:
+    """The elements to cut for their class or id, without those that hold the page's own text."""
+    order, stack, kinds = [], [(root, False)], {}
+    while stack:
+        node, link = stack.pop()
+        if node.tag != "#root":
+            if unwanted(node):
+                continue
+            if kind := named(node):
+                kinds[id(node)] = kind
+        link = link or node.tag == "a"
+        order.append((node, link))
+        stack += [(x, link) for x in node.items if isinstance(x, Node)]
+    if not kinds:
+        return set()
+    text: dict[int, int] = {}
+    held: dict[int, int] = {}
+    for node, link in reversed(order):
+        own = [x for x in node.items if isinstance(x, Node)]
+        text[id(node)] = sum(text.get(id(x), 0) for x in own) + (0 if link else sum(len(x.strip()) for x in node.items if isinstance(x, str)))
+        held[id(node)] = sum(held.get(id(x), 0) for x in own) + (node.tag in ("article", "main"))
+    cut = set()
+    for x, kind in kinds.items():
+        most = 2 * text[x] > text[id(root)] if kind == 1 else 10 * text[x] > 9 * text[id(root)] and text[x] >= 250
+        if held[x] < held[id(root)] or not held[x] and not most:
+            cut.add(x)
+    return cut
 
 
 def measure(root: Node) -> list[Node]:
     """Cuts boilerplate, counts text inside and outside links, and passes points up. Returns the nodes that got points."""
-    order, stack = [], [root]
+    order, stack, cut = [], [root], by_name(root)
     while stack:
         node = stack.pop()
-        if node.tag != "#root" and unwanted(node):
+        if node.tag != "#root" and (id(node) in cut or unwanted(node)):
             node.cut, node.items = True, []
             continue
         order.append(node)

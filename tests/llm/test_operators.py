@@ -217,6 +217,17 @@ def test_html():
     assert [html.extract(x) for x in (None, "", "  ", "<", "plain", "<p>a<p>b", "<script>x")] == ["", "", "", "<", "plain", "a b", ""]
 
 
+def test_html_wrappers_named_after_what_they_have():
+    prose = "".join(f"<p>Paragraph {i}, of the article, is long enough to be read.</p>" for i in range(8))
+    want = " ".join(f"Paragraph {i}, of the article, is long enough to be read." for i in range(8))
+    for name in ("has-sidebar", "no-comments", "elementor-widget-container", "page print"):
+        for inner in (prose, f"<article>{prose}</article>", f"<main>{prose}</main>"):
+            page = f'<body><div id=page class="{name}">{inner}<div class="sidebar"><p>Side, by side, of it all.</p></div></div><div class="ad"><p>Ad, ad.</p></div></body>'
+            assert html.extract(page) == want, (name, inner[:9])
+    comments = '<section class="comments-area">' + "<article><p>" + "A comment, long, longer. " * 90 + "</p></article></section>"
+    assert html.extract(f"<body><article>{prose}{comments}</article></body>") == html.extract(f"<body><article>{prose}</article>{comments}</body>") == want
+
+
 def test_mixing(docs, rows, empty):
     got = mixing.mix(docs, block_rows=2, temperature=1.0).collect()
     assert sorted(r.doc_id for r in got) == [r[0] for r in rows]
