@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 
 from siftwell.functions.analysis import STANDARD, Analyzer, token_table
 
-MAX_TERM_BYTES = 32766
-
 
 @dataclass(frozen=True)
 class Text:
@@ -46,7 +44,7 @@ class Index:
 
 
 def postings_of(docs: DataFrame, fields: dict[str, FieldConfig]) -> DataFrame:
-    """Inverts every field. Terms are counted inside each document before anything is shuffled, so there is no shuffle at all."""
+    """Inverts every field. Terms are counted inside each document before anything is shuffled, so there is no shuffle at all. Terms of any length are kept."""
     out = None
     for name, config in fields.items():
         kind = docs.schema[name].dataType.typeName()
@@ -68,7 +66,7 @@ def postings_of(docs: DataFrame, fields: dict[str, FieldConfig]) -> DataFrame:
         out = part if out is None else out.unionByName(part)
     if out is None:
         raise ValueError("no fields")
-    return out.where(F.octet_length("term") <= MAX_TERM_BYTES)
+    return out
 
 
 def statistics(postings: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -161,3 +161,12 @@ def test_pairs_of_occurs(corpus):
     for a, b in itertools.product(Q.Occur, repeat=2):
         q = Q.Boolean(((a, t("a")), (b, t("b"))))
         assert sorted(r.doc_id for r in searcher.search(q).collect()) == [i for i, text in rows if naive(q, text)], str(q)
+
+
+def test_long_terms_are_indexed(spark):
+    long = "x" * 40_000
+    docs = spark.createDataFrame([(1, f"a {long}"), (2, "a b")], "doc_id long, text string")
+    for positions in (False, True):
+        index = build(docs, {"text": Text(positions=positions)})
+        assert {(r.doc_id, r.term, r.dl) for r in index.postings.collect()} == {(1, "a", 2), (1, long, 2), (2, "a", 2), (2, "b", 2)}
+        assert index.field_stats.first().sum_ttf == 4
