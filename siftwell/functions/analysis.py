@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 SPACE = r"(?U)\s"
 
@@ -21,7 +24,8 @@ class Analyzer:
     """Splits at every Unicode space, lower-cases, and drops stop words while keeping their positions.
 
     keep_empty keeps the empty tokens between consecutive spaces; separator is a regular expression for other tokenizers;
-    char_filters are applied to the text first; filters map a token Column to a token Column."""
+    char_filters are applied to the text first; filters map a token Column to a token Column; tokens longer than max_length go;
+    synonyms (term, other terms) put further tokens on the position of a term."""
 
     lowercase: bool = True
     stop: frozenset[str] = frozenset()
@@ -30,6 +34,7 @@ class Analyzer:
     max_length: int | None = None
     char_filters: tuple[Callable[[Column], Column], ...] = ()
     filters: tuple[Callable[[Column], Column], ...] = field(default=())
+    synonyms: tuple[tuple[str, tuple[str, ...]], ...] = ()
 
     def raw(self, text: Column) -> Column:
         for f in self.char_filters:
@@ -41,7 +46,15 @@ class Analyzer:
         terms = F.transform(self.raw(text), self.normal)
         if not self.keep_empty:
             terms = F.filter(terms, lambda t: t != "")
-        return F.filter(terms, self.wanted) if self.stop or self.max_length else terms
+        terms = F.filter(terms, self.wanted) if self.stop or self.max_length else terms
+        return F.flatten(F.transform(terms, lambda t: F.concat(F.array(t), self.also(t)))) if self.synonyms else terms
+
+    def also(self, term: Column) -> Column:
+        """The terms that share a term's position."""
+        other = F.array().cast("array<string>")
+        for word, more in self.synonyms:
+            other = F.when(term == word, F.array(*map(F.lit, more))).otherwise(other)
+        return other
 
     def normal(self, term: Column) -> Column:
         term = F.lower(term) if self.lowercase else term
@@ -66,20 +79,52 @@ def stop_analyzer(words: Iterable[str]) -> Analyzer:
     return Analyzer(stop=frozenset(words))
 
 
-def token_table(df: DataFrame, id_col: str, text_col: str, analyzer: Analyzer = STANDARD, gap: int = 0) -> DataFrame:
-    """One row per token: id, term, pos, start, end. Rows need distinct ids.
+#: A tokenizer of runs of ASCII letters, by the class of characters that part tokens.
+LETTERS = Analyzer(separator="[^A-Za-z]+")
+
+
+@F.pandas_udf(ArrayType(IntegerType()))
+def _before(sizes: pd.Series) -> pd.Series:
+    return sizes.map(lambda x: np.cumsum(x, dtype=np.int32) - x)
+
+
+# declared so that the planner leaves the call in a projection of its own, and makes it once
+_sums_before = _before.asNondeterministic()
+
+
+def with_tokens(df: DataFrame, text_col: str, analyzer: Analyzer = STANDARD, gap: int = 0, offsets: bool = True, name: str = "__tokens") -> DataFrame:
+    """Adds array<struct<term,pos,start,end>>, made inside each row: no shuffle.
 
-    pos counts tokens before stop words go; start and end are code points of the text. The values of an array column follow one
-    another, gap positions and one code point apart. Offsets are running sums over a document's pieces, linear in its length."""
+    pos counts tokens before stop words go; start and end (null without offsets) are code points of the text. The values of an array
+    column follow one another, gap positions and one code point apart. Only the running sum of piece lengths leaves the JVM."""
     values = F.col(text_col) if df.schema[text_col].dataType.typeName() == "array" else F.array(text_col)
     values = F.filter(values, lambda v: v.isNotNull()).cast("array<string>")
-    pieces = df.select(id_col, F.posexplode(values).alias("v", "s")).select(id_col, "v", F.posexplode(analyzer.raw(F.col("s"))).alias("i", "raw"))
-    order = Window.partitionBy(id_col).orderBy("v", "i")
-    kept = F.lit(True) if analyzer.keep_empty else F.col("raw") != ""
-    size = F.length("raw")
-    placed = pieces.withColumns({
-        "start": (F.sum(size + 1).over(order) - size - 1).cast("int"),
-        "pos": (F.sum(kept.cast("int")).over(order) - 1 + F.col("v") * gap).cast("int"),
-    }).where(kept)
-    out = placed.select(id_col, analyzer.normal(F.col("raw")).alias("term"), "pos", "start", (F.col("start") + size).alias("end"))
-    return out.where(analyzer.wanted(F.col("term")))
+    pieces = F.flatten(F.transform(values, lambda v, k: F.transform(analyzer.raw(v), lambda t: F.struct(t.alias("raw"), k.alias("value")))))
+    out = df.withColumn("__pieces", pieces)
+    if offsets:
+        out = out.withColumn("__starts", _sums_before(F.transform("__pieces", lambda p: F.length(p["raw"]) + 1)))
+        placed = F.zip_with("__pieces", "__starts", lambda p, s: F.struct(p["raw"].alias("raw"), p["value"].alias("value"), s.alias("start")))
+    else:
+        placed = F.transform("__pieces", lambda p: F.struct(p["raw"].alias("raw"), p["value"].alias("value"), F.lit(None).cast("int").alias("start")))
+    if not analyzer.keep_empty:
+        placed = F.filter(placed, lambda p: p["raw"] != "")
+    tokens = F.transform(placed, lambda p, i: F.struct(
+        analyzer.normal(p["raw"]).alias("term"), (i + p["value"] * gap).cast("int").alias("pos"), p["start"].alias("start"), (p["start"] + F.length(p["raw"])).alias("end")))
+    tokens = F.filter(tokens, lambda t: analyzer.wanted(t["term"])) if analyzer.stop or analyzer.max_length else tokens
+    if analyzer.synonyms:
+        tokens = F.flatten(F.transform(tokens, lambda t: F.concat(F.array(t), F.transform(analyzer.also(t["term"]), lambda x: F.struct(x.alias("term"), t["pos"].alias("pos"), t["start"].alias("start"), t["end"].alias("end"))))))
+    return out.withColumn(name, tokens).drop("__pieces", "__starts")
+
+
+def token_table(df: DataFrame, id_col: str, text_col: str, analyzer: Analyzer = STANDARD, gap: int = 0, offsets: bool = True) -> DataFrame:
+    """One row per token: id, term, pos, start, end; see with_tokens."""
+    return with_tokens(df.select(id_col, text_col), text_col, analyzer, gap, offsets).select(id_col, F.inline("__tokens"))
+
+
+def attributes(df: DataFrame, id_col: str, text_col: str, analyzer: Analyzer = STANDARD, gap: int = 0) -> DataFrame:
+    """token_table with the other attributes of a token: pos_inc (to the token before), pos_length, type, payload, term_freq."""
+    tokens = with_tokens(df.select(id_col, text_col), text_col, analyzer, gap).withColumn("__before", F.concat(F.array(F.lit(-1)), F.col("__tokens.pos")))
+    rows = F.transform("__tokens", lambda t, i: F.struct(
+        t["term"].alias("term"), t["pos"].alias("pos"), t["start"].alias("start"), t["end"].alias("end"), (t["pos"] - F.get("__before", i)).alias("pos_inc"), F.lit(1).alias("pos_length"),
+        F.lit("word").alias("type"), F.lit(None).cast("binary").alias("payload"), F.lit(1).alias("term_freq")))
+    return tokens.select(id_col, F.inline(rows))

@@ -9,6 +9,14 @@ from enum import Enum
 MAX_CLAUSES = 1024
 
 
+class Visitor:
+    def enter(self, query: Query) -> bool:
+        return True
+
+    def leaf(self, query: Query) -> None:
+        pass
+
+
 class Query:
     def children(self) -> tuple[Query, ...]:
         return ()
@@ -19,7 +27,15 @@ class Query:
             yield from c.walk()
 
     def terms(self) -> set[tuple[str, str]]:
-        return {(q.field, q.term) for q in self.walk() if isinstance(q, Term)}
+        return {(q.field, q.term) for q in self.walk() if isinstance(q, Term)} | set().union(*[q.terms() for q in self.walk() if isinstance(q, Phrase)] or [set()])
+
+    def visit(self, visitor: Visitor) -> None:
+        """Shows the tree to a visitor, which may decline a node and all below it."""
+        if visitor.enter(self):
+            for c in self.children():
+                c.visit(visitor)
+            if not self.children():
+                visitor.leaf(self)
 
 
 class Occur(Enum):
@@ -42,6 +58,27 @@ class Term(Query):
         return f"{self.field}:{self.term}"
 
 
+@dataclass(frozen=True)
+class Phrase(Query):
+    """Documents with the terms in this order and at most slop other positions between them; needs a field with positions.
+
+    Occurrences count like those of one term whose idf is the sum of the terms'."""
+
+    field: str
+    words: tuple[str, ...]
+    slop: int = 0
+
+    def __post_init__(self) -> None:
+        if not self.words or self.slop < 0:
+            raise ValueError("a phrase needs words and a slop of at least 0")
+
+    def terms(self) -> set[tuple[str, str]]:
+        return {(self.field, w) for w in self.words}
+
+    def __str__(self) -> str:
+        return f'{self.field}:"{" ".join(self.words)}"' + (f"~{self.slop}" if self.slop else "")
+
+
 @dataclass(frozen=True)
 class MatchAll(Query):
     def __str__(self) -> str:
@@ -177,6 +214,24 @@ def wildcard(field: str, pattern: str) -> Regex:
     return Regex(field, "(?s)" + "".join(out))
 
 
+@dataclass(frozen=True)
+class Scoring(Query):
+    """A multi-term query rewritten to scored clauses of the `most` most frequent of its terms, instead of a constant score for all.
+
+    The dictionary is asked when the query runs; the terms kept are as many as a boolean query may have."""
+
+    field: str
+    condition: str  # SQL over term
+    most: int = MAX_CLAUSES
+
+    def rewritten(self, index) -> Query:
+        found = index.term_stats.where(f"field = '{self.field}' and ({self.condition})").orderBy("df", "term", ascending=[False, True]).limit(min(self.most, MAX_CLAUSES)).collect()
+        return boolean(should=[Term(self.field, r.term) for r in found]) if found else MatchNone("no terms")
+
+    def __str__(self) -> str:
+        return f"{self.field}:<{self.condition}>"
+
+
 @dataclass(frozen=True)
 class Exists(Query):
     column: str
@@ -237,6 +292,8 @@ class Boolean(Query):
     max_clauses: int = MAX_CLAUSES
 
     def __post_init__(self) -> None:
+        if not self.clauses:
+            raise ValueError("a boolean query needs clauses")
         if len(self.clauses) > self.max_clauses:
             raise ValueError(f"more than {self.max_clauses} clauses")
 

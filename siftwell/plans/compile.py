@@ -33,7 +33,9 @@ class Searcher:
         return self.index.docs.select("doc_id", F.lit(0.0).alias("score")).where(F.lit(False))
 
     def matching(self, condition: Column) -> DataFrame:
-        return self.index.docs.where(condition).select("doc_id", F.lit(1.0).alias("score"))
+        """A document matches once, whichever of its rows does."""
+        rows = self.index.docs.where(condition).select("doc_id")
+        return (rows.distinct() if self.index.repeated else rows).withColumn("score", F.lit(1.0))
 
     def weights(self, terms: list[tuple[int, Q.Term, float]]) -> DataFrame:
         """(clause, field, term, weight, avgdl): a row per clause, so its size is that of the query."""
@@ -71,11 +73,38 @@ class Searcher:
             return F.exists(q.points, lambda p: reduce(lambda x, y: x & y, [p[c].between(a, b) for c, a, b in bounds]))
         return reduce(lambda x, y: x & y, [F.col(c).between(a, b) for c, a, b in bounds])
 
-    def point_set(self, q: Q.PointSet) -> Column:
-        if len(q.columns) == 1:
-            return F.col(q.columns[0]).isin(*[v[0] for v in q.values]) if q.values else F.lit(False)
-        tests = [reduce(lambda x, y: x & y, [F.col(c) == x for c, x in zip(q.columns, v, strict=True)]) for v in q.values]
-        return reduce(lambda x, y: x | y, tests, F.lit(False))
+    def boxed(self, q: Q.PointRange) -> DataFrame:
+        """By the clustered copy of the points where it has all the columns: its row groups are narrow in every dimension."""
+        points = self.index.points
+        if points is None or q.points or not set(q.columns) <= set(points.columns):
+            return self.matching(self.point_range(q))
+        found = points.where(self.point_range(q)).select("doc_id").distinct().withColumn("score", F.lit(1.0))
+        return found.join(self.index.docs.select("doc_id"), "doc_id", "left_semi")
+
+    def point_set(self, q: Q.PointSet) -> DataFrame:
+        if len(q.values) <= TERMS_IN_PLAN:
+            values = [F.struct(*[F.lit(x).cast(self.index.docs.schema[c].dataType) for c, x in zip(q.columns, v, strict=True)]) for v in q.values]
+            return self.matching(F.struct(*[F.col(c) for c in q.columns]).isin(*values) if values else F.lit(False))
+        values = self.spark.createDataFrame(list(q.values), self.index.docs.select(*q.columns).schema)
+        rows = self.index.docs.join(values, list(q.columns), "left_semi").select("doc_id")  # Spark broadcasts the values if they are few
+        return (rows.distinct() if self.index.repeated else rows).withColumn("score", F.lit(1.0))
+
+    def phrase_hits(self, q: Q.Phrase) -> DataFrame:
+        """(doc_id, score, spans): the postings of the words meet by document; the occurrences are found inside the row."""
+        words = list(dict.fromkeys(q.words))
+        rows = self.index.postings.where((F.col("field") == q.field) & F.col("term").isin(*words))
+        rows = rows.groupBy("doc_id").agg(F.max("dl").alias("dl"), F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("p")).where(F.size("p") == len(words))
+
+        def next_to(word: str, end: Column) -> Column:
+            return F.array_min(F.filter(F.element_at("p", word), lambda x: x > end))
+
+        def span(start: Column) -> Column:
+            return F.struct(start.alias("start"), reduce(lambda end, w: next_to(w, end), q.words[1:], start).alias("end"))
+
+        spans = F.filter(F.transform(F.element_at("p", q.words[0]), span), lambda s: s["end"] - s["start"] - (len(q.words) - 1) <= q.slop)
+        weights = self.weights([(i, Q.Term(q.field, w), 1.0) for i, w in enumerate(q.words)]).agg(F.sum("weight").alias("weight"), F.max("avgdl").alias("avgdl"))
+        found = rows.withColumn("spans", spans).where(F.size("spans") > 0).crossJoin(F.broadcast(weights))  # one row
+        return found.select("doc_id", self.similarity.score(F.size("spans"), F.col("dl"), F.col("weight"), F.col("avgdl")).alias("score"), "spans")
 
     def range_field(self, q: Q.RangeField) -> Column:
         dims = [(F.col(a), F.col(b), lo, hi) for a, b, lo, hi in zip(q.mins, q.maxs, q.lower, q.upper, strict=True)]
@@ -95,10 +124,12 @@ class Searcher:
                 return self.matching(F.lit(True))
             case Q.MatchNone():
                 return self.none()
+            case Q.Phrase():
+                return self.phrase_hits(q).select("doc_id", "score")
             case Q.PointRange():
-                return self.matching(self.point_range(q))
+                return self.boxed(q)
             case Q.PointSet():
-                return self.matching(self.point_set(q))
+                return self.point_set(q)
             case Q.RangeField():
                 return self.matching(self.range_field(q))
             case Q.Exists():
@@ -113,6 +144,8 @@ class Searcher:
                 return self.multi_term(q.field, reduce(lambda x, y: x & y, ends, F.lit(True)))
             case Q.Regex():
                 return self.multi_term(q.field, F.col("term").rlike(f"^(?:{q.pattern})$"))
+            case Q.Scoring():
+                return self.compile(q.rewritten(self.index))
             case Q.Boost():
                 if isinstance(q.query, Q.Term):
                     return self.term_hits([(0, q.query, q.boost)]).select("doc_id", "score")

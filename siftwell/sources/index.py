@@ -4,19 +4,26 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.functions.analysis import STANDARD, Analyzer, token_table
+from siftwell.functions.analysis import STANDARD, Analyzer, with_tokens
 
 
 @dataclass(frozen=True)
 class Text:
-    """An analysed field. A column of arrays counts as repeated values, their tokens one after the other."""
+    """An analysed field. A column of arrays counts as repeated values, their tokens one after the other.
+
+    Lengths count tokens, those that share a position once (discount_overlaps); with docs_only a term counts once and lengths
+    count distinct terms. max_term_bytes bounds terms: `problems` names those beyond it and a store refuses them."""
 
     analyzer: Analyzer = STANDARD
     positions: bool = False
+    offsets: bool = False
     gap: int = 0
+    docs_only: bool = False
+    discount_overlaps: bool = True
+    max_term_bytes: int | None = None
 
 
 @dataclass(frozen=True)
@@ -29,7 +36,10 @@ FieldConfig = Text | Keyword
 
 @dataclass
 class Index:
-    """docs has doc_id and the stored columns; live is the docs that deletes have left (statistics ignore deletes)."""
+    """docs has doc_id and the stored columns; live is the docs that deletes have left (statistics ignore deletes).
+
+    all_docs are the docs with deleted ones; points, if any, the point columns clustered for box queries. With repeated, several
+    rows of docs may stand for one document, which still matches once."""
 
     docs: DataFrame
     postings: DataFrame  # field, term, doc_id, tf, dl[, positions, starts, ends]
@@ -37,6 +47,10 @@ class Index:
     term_stats: DataFrame  # field, term, df, ttf
     tombstones: DataFrame | None = None
     fields: dict[str, FieldConfig] = field(default_factory=dict)
+    all_docs: DataFrame | None = None
+    points: DataFrame | None = None
+    repeated: bool = False
+    impacts: DataFrame | None = None
 
     @property
     def live(self) -> DataFrame:
@@ -44,7 +58,7 @@ class Index:
 
 
 def postings_of(docs: DataFrame, fields: dict[str, FieldConfig]) -> DataFrame:
-    """Inverts every field. Terms are counted inside each document before anything is shuffled, so there is no shuffle at all. Terms of any length are kept."""
+    """Inverts every field: one shuffle, of counts that are already partial. Terms of any length are kept."""
     out = None
     for name, config in fields.items():
         kind = docs.schema[name].dataType.typeName()
@@ -53,13 +67,15 @@ def postings_of(docs: DataFrame, fields: dict[str, FieldConfig]) -> DataFrame:
         if isinstance(config, Keyword):
             part = docs.select(F.lit(name).alias("field"), F.explode(F.array_distinct(values).cast("array<string>")).alias("term"), "doc_id").withColumns({"tf": F.lit(1), "dl": F.lit(1)})
             part = part.withColumns({c: F.lit(None).cast("array<int>") for c in ("positions", "starts", "ends")})
-        elif config.positions:
-            rows = token_table(docs, "doc_id", name, config.analyzer, config.gap)
-            part = rows.groupBy("doc_id", "term").agg(F.count("*").cast("int").alias("tf"), F.sort_array(F.collect_list(F.struct("pos", "start", "end"))).alias("p"))
-            part = part.withColumn("dl", F.sum("tf").over(Window.partitionBy("doc_id")).cast("int"))
-            part = part.select(F.lit(name).alias("field"), "term", "doc_id", "tf", "dl", F.col("p.pos").alias("positions"), F.col("p.start").alias("starts"), F.col("p.end").alias("ends"))
+        elif config.positions or config.offsets or config.analyzer.synonyms:
+            rows = with_tokens(docs.select("doc_id", name), name, config.analyzer, config.gap, config.offsets)
+            lengths = F.size(F.array_distinct("__tokens.term")) if config.docs_only else F.size(F.array_distinct("__tokens.pos")) if config.discount_overlaps else F.size("__tokens")
+            rows = rows.select("doc_id", lengths.alias("dl"), F.inline("__tokens"))
+            part = rows.groupBy("doc_id", "term", "dl").agg(F.count("*").cast("int").alias("tf"), F.sort_array(F.collect_list(F.struct("pos", "start", "end"))).alias("p"))
+            part = part.select(F.lit(name).alias("field"), "term", "doc_id", F.lit(1).alias("tf") if config.docs_only else "tf", "dl", F.col("p.pos").alias("positions"), F.col("p.start").alias("starts"), F.col("p.end").alias("ends"))
         else:
             terms = F.flatten(F.transform(values.cast("array<string>"), config.analyzer.terms))
+            terms = F.array_distinct(terms) if config.docs_only else terms
             part = docs.select("doc_id", terms.alias("t")).select("doc_id", F.size("t").alias("dl"), F.explode("t").alias("term")).groupBy("doc_id", "term", "dl").agg(F.count("*").cast("int").alias("tf"))
             part = part.select(F.lit(name).alias("field"), "term", "doc_id", "tf", "dl")
             part = part.withColumns({c: F.lit(None).cast("array<int>") for c in ("positions", "starts", "ends")})
@@ -69,6 +85,33 @@ def postings_of(docs: DataFrame, fields: dict[str, FieldConfig]) -> DataFrame:
     return out
 
 
+MAX_POSITION = (1 << 31) - 1 - 128
+
+
+def problems(postings: DataFrame, fields: dict[str, FieldConfig]) -> DataFrame:
+    """(field, doc_id, problem): terms longer than their field allows, positions out of bounds or falling, offsets that end before they start."""
+    term_bytes = F.lit(None).cast("int")
+    for name, config in fields.items():
+        if isinstance(config, Text) and config.max_term_bytes is not None:
+            term_bytes = F.when(F.col("field") == name, F.lit(config.max_term_bytes)).otherwise(term_bytes)
+    fallen = F.exists(F.zip_with(F.slice("positions", 1, F.size("positions") - 1), F.slice("positions", 2, F.size("positions")), lambda a, b: b < a), lambda x: x)
+    tests = {
+        "immense term": F.octet_length("term") > term_bytes,
+        "position": (F.element_at("positions", 1) < 0) | (F.element_at("positions", -1) > MAX_POSITION) | F.when(F.size("positions") > 1, fallen),
+        "offset": F.exists(F.arrays_zip("starts", "ends"), lambda x: (x["ends"] < x["starts"]) | (x["starts"] < 0)),
+    }
+    found = F.array_compact(F.array(*[F.when(F.coalesce(test, F.lit(False)), F.lit(name)) for name, test in tests.items()]))
+    return postings.select("field", "doc_id", F.explode(found).alias("problem"))
+
+
+def impacts(postings: DataFrame, block: int = 128) -> DataFrame:
+    """(field, term, block, tf, dl): per block of doc_ids the competitive pairs, those that no other pair of the block beats in both count and length."""
+    best = postings.groupBy("field", "term", F.floor(F.col("doc_id") / block).alias("block"), "tf").agg(F.min("dl").alias("dl"))
+    pairs = best.groupBy("field", "term", "block").agg(F.sort_array(F.collect_list(F.struct((-F.col("tf")).alias("minus"), F.col("dl")))).alias("pairs"))
+    kept = F.filter("pairs", lambda p, i: F.coalesce(p["dl"] < F.array_min(F.transform(F.slice("pairs", F.lit(1), i), lambda q: q["dl"])), F.lit(True)))
+    return pairs.select("field", "term", "block", F.explode(kept).alias("p")).select("field", "term", "block", (-F.col("p.minus")).alias("tf"), F.col("p.dl").alias("dl"))
+
+
 def statistics(postings: DataFrame) -> tuple[DataFrame, DataFrame]:
     terms = postings.groupBy("field", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("ttf"))
     fields = postings.groupBy("field", "doc_id").agg(F.sum("tf").alias("n"), F.count("*").alias("terms")).groupBy("field").agg(F.count("*").alias("doc_count"), F.sum("n").alias("sum_ttf"), F.sum("terms").alias("sum_df"))

@@ -1,36 +1,73 @@
 """A versioned index on any file system Spark writes to: every commit is one small row written last.
 
-    path/docs, path/postings      one directory per generation, postings partitioned by field, sorted by term
-    path/stats                    statistics of all generations, rewritten per commit
-    path/tombstones               (doc_id, generation): rows of older generations that are gone
-    path/commits                  generation, kind, user data
+    path/docs/<segment>       rows, in the index's sort order if it has one
+    path/postings/<segment>   dealt by ranges of (field, term, doc_id) and sorted by them: no term, however frequent, is one task or file,
+                              and lookups, prefixes and ranges prune files and row groups
+    path/terms/<segment>      term statistics        path/fields/<segment>   field statistics
+    path/impacts/<segment>    best counts and lengths of each term by block of documents
+    path/points/<segment>     point columns clustered along a space-filling curve, if asked for
+    path/tombstones/<name>    (doc_id, segment): rows of older segments that are gone, or soft-deleted
+    path/commits              generation, segments, tombstones, user data
+
+Segment names are never used twice, so a commit that failed midway can be repeated; vacuum removes what no commit refers to.
 """
 
 from __future__ import annotations
 
 import json
+import time
+import uuid
 from collections.abc import Callable
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.sources.index import FieldConfig, Index, postings_of, statistics
+from siftwell.sources import shared
+from siftwell.sources.index import FieldConfig, Index, Keyword, impacts, postings_of, problems, statistics
+from siftwell.sources.points import clustered
+
+KINDS = ("docs", "raw", "postings", "terms", "fields", "impacts", "points", "tombstones")
+COMMITS = "generation long, segments string, tombstones string, user_data string"
+LOCK_SECONDS = 3600
+
+
+@dataclass(frozen=True)
+class MergePolicy:
+    """Which segments to merge, given (name, rows) of each: once there are more than `most`, the smallest, so that `most` are left."""
+
+    most: int = 10
+
+    def choose(self, segments: list[tuple[str, int]]) -> list[str]:
+        extra = len(segments) - self.most
+        return [] if extra <= 0 else [s for s, _ in sorted(segments, key=lambda x: (x[1], x[0]))[: extra + 1]]
+
+
+class NoMerges(MergePolicy):
+    def choose(self, segments: list[tuple[str, int]]) -> list[str]:
+        return []
 
 
 class IndexStore:
-    """Opens (append), creates (create) or does either (create_or_append) an index; closing commits what is pending."""
+    """Opens (append), creates (create) or does either (create_or_append) an index; closing commits what is pending.
+
+    One writer at a time: the lock names its owner, each commit renews it, and one not renewed for `lock_seconds` is taken over."""
 
-    def __init__(self, spark: SparkSession, path: str, fields: dict[str, FieldConfig], mode: str = "create_or_append", sort_by: list[str] | None = None):
+    def __init__(self, spark: SparkSession, path: str, fields: dict[str, FieldConfig], mode: str = "create_or_append", sort_by: list[str] | None = None, points: list[str] | None = None,
+                 merge_policy: MergePolicy = NoMerges(), lock_seconds: int = LOCK_SECONDS):  # noqa: B008
         if mode not in ("create", "append", "create_or_append"):
             raise ValueError(mode)
-        self.spark, self.path, self.fields, self.sort_by = spark, path.rstrip("/"), fields, sort_by
-        self.pending: list[Callable[[int], None]] = []
+        self.spark, self.path, self.fields, self.sort_by, self.points, self.merge_policy, self.lock_seconds = spark, path.rstrip("/"), fields, sort_by, points, merge_policy, lock_seconds
+        self.pending: list[Callable[[], None]] = []
+        self.prepared: tuple[int, dict | None] | None = None
+        self.owner = uuid.uuid4().hex
         if not self._lock():
             raise RuntimeError(f"{path} is locked by another writer")
         try:
             if mode == "create":
-                for name in ("docs", "postings", "stats", "tombstones", "commits"):
-                    self._delete(f"{self.path}/{name}")
+                for name in (*KINDS, "commits"):
+                    shared.delete(spark, f"{self.path}/{name}")
             elif mode == "append" and not self.commits():
                 raise FileNotFoundError(path)
         except BaseException:
@@ -47,135 +84,208 @@ class IndexStore:
         finally:
             self._unlock()
 
-    # files
-
-    def _fs(self, path: str):
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
+    # the lock
 
     def _lock(self) -> bool:
-        fs, p = self._fs(f"{self.path}/_lock")
+        fs, p = shared.file_system(self.spark, f"{self.path}/_lock")
         fs.mkdirs(p.getParent())
-        return bool(fs.createNewFile(p))
+        if fs.exists(p) and time.time() * 1000 - fs.getFileStatus(p).getModificationTime() > self.lock_seconds * 1000:
+            fs.delete(p, False)
+        if not fs.createNewFile(p):
+            return False
+        self._renew()
+        return True
+
+    def _renew(self) -> None:
+        fs, p = shared.file_system(self.spark, f"{self.path}/_lock")
+        out = fs.create(p, True)
+        out.writeBytes(self.owner)
+        out.close()
+
+    def _holds(self) -> bool:
+        fs, p = shared.file_system(self.spark, f"{self.path}/_lock")
+        if not fs.exists(p):
+            return False
+        stream = fs.open(p)
+        try:
+            return bool(stream.readLine() == self.owner)
+        finally:
+            stream.close()
 
     def _unlock(self) -> None:
-        self._delete(f"{self.path}/_lock")
-
-    def _delete(self, path: str) -> None:
-        fs, p = self._fs(path)
-        fs.delete(p, True)
-
-    def _exists(self, path: str) -> bool:
-        fs, p = self._fs(path)
-        return fs.exists(p)
+        if self._holds():
+            shared.delete(self.spark, f"{self.path}/_lock")
 
     # commits
 
     def commits(self) -> list[dict]:
-        if not self._exists(f"{self.path}/commits"):
+        if not shared.exists(self.spark, f"{self.path}/commits"):
             return []
-        return [r.asDict() for r in self.spark.read.json(f"{self.path}/commits", schema="generation long, segments string, tombstones string, user_data string").orderBy("generation").collect()]
+        return [r.asDict() for r in self.spark.read.json(f"{self.path}/commits", schema=COMMITS).orderBy("generation").collect()]
 
     def version(self) -> int:
-        return self.commits()[-1]["generation"] if self.commits() else 0
+        found = self.commits()
+        return found[-1]["generation"] if found else 0
 
     def is_current(self, generation: int) -> bool:
         return generation == self.version()
 
     def add(self, docs: DataFrame) -> None:
-        self.pending.append(lambda g, k=len(self.pending): self._write(docs, g, k))
+        self.pending.append(lambda: self._write(docs))
 
     def delete(self, condition: Column) -> None:
         """Marks the rows of earlier commits and of earlier pending adds that meet the condition."""
-        self.pending.append(lambda g, k=len(self.pending): self._bury(condition, g, k))
+        self.pending.append(lambda: self._bury(condition, False))
+
+    def soft_delete(self, condition: Column) -> None:
+        """As delete, but `open(include_soft=True)` still shows the rows."""
+        self.pending.append(lambda: self._bury(condition, True))
 
     def update(self, condition: Column, docs: DataFrame) -> None:
         """Deletes by condition, then adds: readers see both or neither."""
         self.delete(condition)
         self.add(docs)
 
-    def _write(self, docs: DataFrame, generation: int, step: int) -> None:
-        name = f"{generation}-{step}"
+    def soft_update(self, condition: Column, docs: DataFrame) -> None:
+        """Soft-deletes by condition, then adds."""
+        self.soft_delete(condition)
+        self.add(docs)
+
+    def _write(self, docs: DataFrame) -> None:
+        name = uuid.uuid4().hex
         rows = docs.sortWithinPartitions(*self.sort_by) if self.sort_by else docs
         rows.write.parquet(f"{self.path}/docs/{name}")
         docs = self.spark.read.parquet(f"{self.path}/docs/{name}")
-        postings_of(docs, self.fields).repartition("field", F.col("term").substr(1, 2)).sortWithinPartitions("field", "term", "doc_id").write.partitionBy("field").parquet(f"{self.path}/postings/{name}")
+        # a few large files make few tasks: deal their rows out; ranges are then taken of written postings, not of a second analysis
+        raw = f"{self.path}/raw/{name}"
+        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        postings_of(docs.repartition(n) if len(docs.inputFiles()) < n else docs, self.fields).write.parquet(raw)
+        self.spark.read.parquet(raw).repartitionByRange("field", "term", "doc_id").sortWithinPartitions("field", "term", "doc_id").write.parquet(f"{self.path}/postings/{name}")
+        shared.delete(self.spark, raw)
+        postings = self.spark.read.parquet(f"{self.path}/postings/{name}")
+        if any(not isinstance(f, Keyword) and (f.positions or f.max_term_bytes is not None) for f in self.fields.values()):
+            wrong = problems(postings, self.fields).limit(3).collect()
+            if wrong:
+                raise ValueError(f"not indexed: {wrong}")
+        by_field, by_term = statistics(postings)
+        by_term.repartitionByRange("field", "term").sortWithinPartitions("field", "term").write.parquet(f"{self.path}/terms/{name}")
+        impacts(postings).repartitionByRange("field", "term", "block").sortWithinPartitions("field", "term", "block").write.parquet(f"{self.path}/impacts/{name}")
+        by_field.coalesce(1).write.parquet(f"{self.path}/fields/{name}")
+        if self.points:
+            clustered(docs.select("doc_id", *self.points), self.points).write.parquet(f"{self.path}/points/{name}")
         self._segments.append(name)
 
-    def _bury(self, condition: Column, generation: int, step: int) -> None:
-        name = f"{generation}-{step}"
-        found = [self.spark.read.parquet(f"{self.path}/docs/{s}").where(condition).select("doc_id", F.lit(s).alias("segment")) for s in self._segments]
+    def _bury(self, condition: Column, soft: bool) -> None:
+        found = [self.spark.read.parquet(f"{self.path}/docs/{s}").where(condition).select("doc_id", F.lit(s).alias("segment"), F.lit(soft).alias("soft")) for s in self._segments]
         if found:
-            out = found[0]
-            for f in found[1:]:
-                out = out.unionByName(f)
-            out.write.parquet(f"{self.path}/tombstones/{name}")
+            name = uuid.uuid4().hex
+            reduce(DataFrame.unionByName, found).write.parquet(f"{self.path}/tombstones/{name}")
             self._tombstones.append(name)
 
-    def commit(self, user_data: dict | None = None) -> int:
-        """First all data, then one row: a failure in between leaves the last commit as it was."""
+    def prepare(self, user_data: dict | None = None) -> None:
+        """First phase of a commit: writes all data, which no reader sees until `commit`; `rollback` forgets them."""
+        if self.prepared is not None:
+            raise RuntimeError("prepared already")
         past = self.commits()
-        if not self.pending and past and user_data is None:
-            return past[-1]["generation"]
-        generation = (past[-1]["generation"] if past else 0) + 1
         self._segments = json.loads(past[-1]["segments"]) if past else []
         self._tombstones = json.loads(past[-1]["tombstones"]) if past else []
         for step in self.pending:
-            step(generation)
-        self.pending = []
-        self._record(generation, self._segments, self._tombstones, user_data)
-        return generation
+            step()
+        self.prepared = (past[-1]["generation"] if past else 0, user_data)
+
+    def commit(self, user_data: dict | None = None) -> int:
+        """First all data, then one row: a failure in between leaves the last commit as it was, and the commit can be tried again."""
+        if self.prepared is None:
+            if not self.pending and user_data is None and (now := self.version()):
+                return now
+            self.prepare(user_data)
+        before, data = self.prepared
+        self._record(before + 1, self._segments, self._tombstones, user_data or data)
+        self.pending, self.prepared = [], None
+        chosen = self.merge_policy.choose([(s, self.spark.read.parquet(f"{self.path}/docs/{s}").count()) for s in self._segments]) if not isinstance(self.merge_policy, NoMerges) else []
+        return self.compact(chosen) if chosen else before + 1
 
     def _record(self, generation: int, segments: list[str], tombstones: list[str], user_data: dict | None) -> None:
+        if not self._holds():
+            raise RuntimeError(f"{self.path}: the lock was lost")
+        self._renew()
         row = [(generation, json.dumps(segments), json.dumps(tombstones), json.dumps(user_data or {}))]
-        self.spark.createDataFrame(row, "generation long, segments string, tombstones string, user_data string").coalesce(1).write.mode("append").json(f"{self.path}/commits")
+        self.spark.createDataFrame(row, COMMITS).coalesce(1).write.mode("append").json(f"{self.path}/commits")
 
     def rollback(self) -> None:
-        self.pending = []
-
-    def compact(self) -> int:
-        """Rewrites the live rows as one segment; statistics forget deleted rows from then on."""
-        self.commit()
-        live = self.open().live
-        generation = self.version() + 1
-        self._segments, self._tombstones = [], []
-        self._write(live, generation, 0)
-        self._record(generation, self._segments, [], None)
-        return generation
+        self.pending, self.prepared = [], None
+
+    def compact(self, segments: list[str] | None = None) -> int:
+        """Rewrites the live rows of the given segments (all) as one; statistics forget deleted rows from then on."""
+        if self.pending or self.prepared:
+            self.commit()
+        last = self.commits()[-1]
+        chosen = json.loads(last["segments"]) if segments is None else segments
+        live = self._rows("docs", chosen).join(self._graves(json.loads(last["tombstones"])), ["doc_id", "segment"], "left_anti").drop("segment")
+        self._segments = [s for s in json.loads(last["segments"]) if s not in chosen]
+        self._write(live)
+        graves = json.loads(last["tombstones"]) if len(self._segments) > 1 else []
+        self._record(last["generation"] + 1, self._segments, graves, None)
+        return last["generation"] + 1
 
     def vacuum(self, keep_last: int = 1) -> None:
-        """Drops what no kept commit refers to."""
+        """Keeps the last commits only, and drops what they don't refer to."""
         kept = self.commits()[-keep_last:]
         used = {s for c in kept for s in json.loads(c["segments"])} | {t for c in kept for t in json.loads(c["tombstones"])}
-        for kind in ("docs", "postings", "tombstones"):
-            fs, p = self._fs(f"{self.path}/{kind}")
-            if fs.exists(p):
-                for f in fs.listStatus(p):
-                    if f.getPath().getName() not in used:
-                        fs.delete(f.getPath(), True)
+        for kind in KINDS:
+            for name in shared.names(self.spark, f"{self.path}/{kind}"):
+                if name not in used:
+                    shared.delete(self.spark, f"{self.path}/{kind}/{name}")
 
     def add_index(self, other: Index, offset: int) -> None:
-        """Takes in another index's live documents, their ids moved by offset."""
-        self.add(other.live.withColumn("doc_id", F.col("doc_id") + offset))
+        """Takes in another index's live documents, their ids moved by offset; ids that then clash are an error."""
+        moved = other.live.withColumn("doc_id", F.col("doc_id") + offset)
+        if self.version() and moved.join(self.open().live.select("doc_id"), "doc_id", "left_semi").limit(1).count():
+            raise ValueError("doc_ids clash")
+        self.add(moved)
+
+    # readers
+
+    def _rows(self, kind: str, segments: list[str]) -> DataFrame:
+        parts = [self.spark.read.parquet(f"{self.path}/{kind}/{s}").withColumn("segment", F.lit(s)) for s in segments]
+        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
-    def open(self, generation: int | None = None) -> Index:
+    def _graves(self, names: list[str], soft: bool = True) -> DataFrame:
+        if not names:
+            return self.spark.createDataFrame([], "doc_id long, segment string")
+        found = self.spark.read.parquet(*[f"{self.path}/tombstones/{t}" for t in names])
+        return (found if soft else found.where(~F.col("soft"))).select("doc_id", "segment").distinct()
+
+    def open(self, generation: int | None = None, include_soft: bool = False) -> Index:
         """The last commit, or the given one."""
         found = [c for c in self.commits() if generation is None or c["generation"] == generation]
         if not found:
             raise FileNotFoundError(f"{self.path}: no commit {generation or ''}")
-        commit = found[-1]
-        segments, graves = json.loads(commit["segments"]), json.loads(commit["tombstones"])
-
-        def read(kind: str) -> DataFrame:
-            out = None
-            for s in segments:
-                part = self.spark.read.parquet(f"{self.path}/{kind}/{s}").withColumn("segment", F.lit(s))
-                out = part if out is None else out.unionByName(part, allowMissingColumns=True)
-            return out
-
-        docs, postings = read("docs"), read("postings")
-        by_field, by_term = statistics(postings.withColumn("doc_id", F.xxhash64("segment", "doc_id")))
-        if graves:
-            gone = self.spark.read.parquet(*[f"{self.path}/tombstones/{t}" for t in graves]).distinct()
+        return self._index(json.loads(found[-1]["segments"]), json.loads(found[-1]["tombstones"]), include_soft)
+
+    def open_pending(self) -> Index:
+        """A reader over the last commit and what this writer has pending, which is written but not committed."""
+        if self.prepared is None:
+            self.prepare()
+        return self._index(self._segments, self._tombstones, False)
+
+    def _index(self, segments: list[str], tombstones: list[str], include_soft: bool) -> Index:
+        docs, postings = self._rows("docs", segments), self._rows("postings", segments)
+        by_field, by_term = self._rows("fields", segments), self._rows("terms", segments)
+        if len(segments) > 1:
+            by_field = by_field.groupBy("field").agg(*[F.sum(c).alias(c) for c in ("doc_count", "sum_ttf", "sum_df")])
+            by_term = by_term.groupBy("field", "term").agg(*[F.sum(c).alias(c) for c in ("df", "ttf")])
+        max_doc = docs.drop("segment")
+        if tombstones:
+            gone = self._graves(tombstones, not include_soft)
             docs, postings = docs.join(gone, ["doc_id", "segment"], "left_anti"), postings.join(gone, ["doc_id", "segment"], "left_anti")
-        return Index(docs.drop("segment"), postings.drop("segment"), by_field, by_term, None, self.fields)
+        points = self._rows("points", segments).drop("segment") if self.points else None
+        return Index(docs.drop("segment"), postings.drop("segment"), by_field.drop("segment"), by_term.drop("segment"), None, self.fields, max_doc, points, False, self._rows("impacts", segments).drop("segment"))
+
+
+def reader(spark: SparkSession, path: str, fields: dict[str, FieldConfig], points: list[str] | None = None) -> IndexStore:
+    """The store without its lock: for reading only."""
+    out = IndexStore.__new__(IndexStore)
+    out.spark, out.path, out.fields, out.points, out.sort_by = spark, path.rstrip("/"), fields, points, None
+    out.pending, out.prepared, out.owner = [], None, ""
+    return out

@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.functions.analysis import STANDARD, Analyzer
+from siftwell.functions.analysis import STANDARD, Analyzer, with_tokens
 from siftwell.functions.similarity import BM25
 from siftwell.operators import query as Q
 from siftwell.plans.rewrite import rewrite
@@ -78,8 +78,20 @@ def score_column(query: Q.Query, fields: dict[str, str], similarity: BM25 | None
 
 
 def percolate(docs: DataFrame, queries: dict[int, Q.Query], text_fields: list[str], id_col: str = "doc_id", analyzer: Analyzer = STANDARD, similarity: BM25 | None = None) -> DataFrame:
-    """(id, query_id, score) of every stored query that a document matches. docs may be a stream."""
+    """(id, query_id, score) of every stored query that a document matches. docs may be a stream; text fields may be arrays of values."""
     columns = {f: f"__{f}_terms" for f in text_fields}
-    prepared = docs.withColumns({c: analyzer.terms(F.coalesce(F.col(f), F.lit(""))) for f, c in columns.items()})
+
+    def terms(name: str) -> Column:
+        if docs.schema[name].dataType.typeName() != "array":
+            return analyzer.terms(F.coalesce(F.col(name), F.lit("")))
+        return F.flatten(F.transform(F.filter(F.coalesce(name, F.array().cast("array<string>")), lambda v: v.isNotNull()), analyzer.terms))
+
+    prepared = docs.withColumns({c: terms(f) for f, c in columns.items()})
     scores = F.array(*[F.struct(F.lit(i).cast("long").alias("query_id"), score_column(q, columns, similarity).alias("score")) for i, q in sorted(queries.items())])
     return prepared.select(F.col(id_col), F.inline(F.filter(scores, lambda s: s["score"].isNotNull())))
+
+
+def positions(docs: DataFrame, field: str, words: list[str], id_col: str = "doc_id", analyzer: Analyzer = STANDARD, gap: int = 0) -> DataFrame:
+    """(id, term, pos, start, end): where the words stand in each arriving document; values of an array field follow one another, gap apart."""
+    found = with_tokens(docs.select(id_col, field), field, analyzer, gap)
+    return found.select(id_col, F.inline(F.filter("__tokens", lambda t: t["term"].isin(*words))))

@@ -170,3 +170,49 @@ def test_long_terms_are_indexed(spark):
         index = build(docs, {"text": Text(positions=positions)})
         assert {(r.doc_id, r.term, r.dl) for r in index.postings.collect()} == {(1, "a", 2), (1, long, 2), (2, "a", 2), (2, "b", 2)}
         assert index.field_stats.first().sum_ttf == 4
+
+
+def test_phrases_against_plain_search(spark):
+    r = random.Random(3)
+    rows = [(i, " ".join(r.choices("abc", k=r.randint(1, 12)))) for i in range(40)]
+    s = Searcher(build(spark.createDataFrame(rows, "doc_id long, body string"), {"body": Text(positions=True)}))
+    for words, slop in ((("a", "b"), 0), (("a", "b", "c"), 1), (("a", "a"), 0), (("b",), 0)):
+        want = set()
+        for i, text in rows:
+            w = text.split()
+            for start in range(len(w)):
+                at = start if w[start] == words[0] else None
+                for x in words[1:]:
+                    at = None if at is None else next((k for k in range(at + 1, len(w)) if w[k] == x), None)
+                if at is not None and at - start - (len(words) - 1) <= slop:
+                    want.add((i, start, at))
+        from siftwell.operators.matches import spans
+
+        assert {(x.doc_id, x.start, x.end) for x in spans(s, Q.Phrase("body", words, slop)).collect()} == want
+
+
+def test_total_hits_and_merging(spark):
+    hits = spark.createDataFrame([(i, float(i % 7)) for i in range(50)], "doc_id long, score double")
+    assert tuple(C.total_hits(hits, 20).first()) == (21, "GREATER_THAN_OR_EQUAL_TO")
+    assert tuple(C.total_hits(hits, 50).first()) == (50, "EQUAL_TO")
+    got = C.merge_top([hits.where("doc_id < 25"), hits.where("doc_id >= 25")], 2, 5).collect()
+    want = sorted(((-float(i % 7), int(i >= 25), i) for i in range(50)))[2:7]
+    assert [(-r.score, r.shard, r.doc_id) for r in got] == want and {r.total for r in got} == {50}
+
+
+def test_failed_commit_can_be_repeated(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "x", "red fox")], "doc_id long, key string, body string")
+    s = IndexStore(spark, str(tmp_path / "i"), {"body": Text(), "key": Keyword()})
+    s.add(docs)
+    record, s._record = s._record, lambda *_: (_ for _ in ()).throw(OSError("full"))
+    with pytest.raises(OSError):
+        s.commit()
+    s._record = record
+    assert s.commit() == 1 and s.open().docs.count() == 1
+    s.vacuum()
+    s.__exit__(None, None, None)
+
+
+def test_empty_boolean_is_refused():
+    with pytest.raises(ValueError):
+        Q.boolean()
