@@ -38,6 +38,26 @@ def keyed_nodes(docs: DataFrame, describe: Callable[[np.ndarray], tuple[int, int
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, sig long, keys array<long>")
 
 
+def join_spread(left: DataFrame, right: DataFrame, key: str, most: int = 1024) -> DataFrame:
+    """left join right on key, right holding each key at most once, without gathering a frequent key in one task.
+
+    Keys that hold at least one in `most` of left's rows, of which there can't be more than `most`, meet a broadcast of their rows
+    of right; rows of left with a null key meet nothing; the others are shuffled. Columns: left's, then right's without the key."""
+    width = [c for c in right.columns if c != key]
+    total = left.where(F.col(key).isNotNull()).count()
+    counts = left.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("__n")).where(F.col("__n") >= max(total // most, 2))
+    hot = [r[0] for r in counts.select(key).collect()]  # at most `most` keys
+    lone = left.where(F.col(key).isNull()).select("*", *[F.lit(None).cast(right.schema[c].dataType).alias(c) for c in width])
+    rest = left.where(F.col(key).isNotNull())
+    if not hot:
+        return rest.join(right, key, "left").select(*left.columns, *width).unionByName(lone)
+    names = left.sparkSession.createDataFrame([(k,) for k in hot], left.select(key).schema)
+    few = right.join(F.broadcast(names), key, "left_semi")
+    cold = rest.join(F.broadcast(names), key, "left_anti").join(right, key, "left").select(*left.columns, *width)
+    warm = rest.join(F.broadcast(names), key, "left_semi").join(F.broadcast(few), key, "left").select(*left.columns, *width)
+    return cold.unionByName(warm).unionByName(lone)
+
+
 def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 

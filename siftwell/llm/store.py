@@ -1,28 +1,32 @@
-"""Tables shared by all executors, used to cut lineage between the steps of an operator."""
+"""Tables and files shared by all executors, used to cut lineage between the steps of an operator."""
 
 from __future__ import annotations
 
 import gc
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; where it is unset (tests), a folder of our own."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        known = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = known.get() if known.isDefined() else None
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="siftwell-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found
+from siftwell.sources import shared
+from siftwell.sources.shared import shared_dir  # noqa: F401
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/siftwell/{name}-{uuid.uuid4().hex}"
+    return f"{shared.shared_dir(spark)}/siftwell/{name}-{uuid.uuid4().hex}"
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A new folder as a URI that executors' Python can open with `files`."""
+    fs, p = shared.file_system(spark, new_path(spark, name))
+    fs.mkdirs(p)
+    return fs.makeQualified(p).toString().replace("file:/", "file:///", 1).replace("file://///", "file:///", 1)
+
+
+def files(uri: str):
+    """(file system, path) of a URI: local or mounted folders, HDFS and object stores."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri)
 
 
 class Table:
@@ -38,9 +42,7 @@ class Table:
         return self.spark.read.schema(self.schema).parquet(self.path)
 
     def drop(self) -> None:
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        shared.delete(self.spark, self.path)
 
 
 def release(spark: SparkSession) -> None:
