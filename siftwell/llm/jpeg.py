@@ -126,8 +126,7 @@ def _dc_first(parts: list[bytes], plan: list[tuple[np.ndarray, int, Huffman]], o
     for c, (plane, _, _) in enumerate(plan):
         mine = order[:, 0] == c
         plane[order[mine, 1]] = got[mine]
-    del blocks
-
+    
 
 def _ac_first(bits: Bits, rows: np.ndarray, ss: int, se: int, al: int, h: Huffman) -> None:
     width = se - ss + 1
@@ -413,6 +412,9 @@ def decode_payload(image: Image) -> bytes:
     return raw.tobytes()[: struct.unpack(">Q", image.app9[8:16])[0]]
 
 
+BATCH = 32 << 20
+
+
 def pad(data: bytes) -> bytes:
     return data + b"\xff" * (max(UNIT, -(-len(data) // UNIT) * UNIT) - len(data))
 
@@ -424,32 +426,51 @@ def feature(rgb: np.ndarray) -> str:
     return f"{rgb.shape[0]}x{rgb.shape[1]};" + ",".join(map(str, sums.tolist())) + ";" + ",".join(map(str, bins.tolist()))
 
 
-def media_columns(docs: DataFrame, with_media: bool = False, with_tensor: bool = False) -> DataFrame:
-    """Stores every text (null: empty) as a progressive JPEG, reads it back, and describes payload, file and pixels.
+def stored_media(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_bytes, media): every text (null: empty) as a progressive JPEG that holds its padded bytes, to be written to a table."""
 
-    Repeated rows and equal texts give equal values; columns beyond doc_id and text are ignored. With with_media the file, with
-    with_tensor height, width and the RGB tensor's bytes follow."""
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary())])
+        for part in parts:
+            rows, held = [], 0
+            for doc_id, text in zip(part.column(0).to_pylist(), W.utf8(part.column(1)), strict=True):
+                rows.append([doc_id, len(text), encode_payload(pad(text))])
+                held += len(rows[-1][2])
+                if held > BATCH:
+                    yield _record_batch(rows, schema)
+                    rows, held = [], 0
+            yield _record_batch(rows, schema)
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, media binary")
+
+
+def media_columns(media: DataFrame, with_tensor: bool = False) -> DataFrame:
+    """Decodes stored files (doc_id, n_bytes, media) and describes payload, file and pixels.
+
+    Equal files give equal values; repeated rows and null ids each get a row; other columns are ignored. With with_tensor height,
+    width and the bytes of the full-resolution RGB tensor follow, for a table of tensors. An image is decoded whole: per byte of
+    text it takes some 60 bytes of memory while it lasts."""
     fields = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())]
-    fields += [("media", pa.binary())] * with_media + [("height", pa.int32()), ("width", pa.int32()), ("rgb", pa.binary())] * with_tensor
+    fields += [("height", pa.int32()), ("width", pa.int32()), ("rgb", pa.binary())] * with_tensor
     schema = pa.schema(fields)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             rows, held = [], 0
-            for doc_id, text in zip(part.column(0).to_pylist(), W.utf8(part.column(1)), strict=True):
-                media = encode_payload(pad(text))
-                image = Image(media)
+            for doc_id, n_bytes, cell in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2), strict=True):
+                file = cell.as_py()
+                image = Image(file)
                 payload, rgb = decode_payload(image), image.pixels()
-                row = [doc_id, len(text), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature(rgb)]
-                rows.append(row + [media] * with_media + ([rgb.shape[0], rgb.shape[1], rgb.tobytes()] if with_tensor else []))
-                held += len(media) * with_media + rgb.size * with_tensor
-                if held > 32 << 20:
+                row = [doc_id, n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(file), hashlib.sha256(file).hexdigest(), feature(rgb)]
+                rows.append(row + ([rgb.shape[0], rgb.shape[1], rgb.tobytes()] if with_tensor else []))
+                held += rgb.size * with_tensor
+                if held > BATCH:
                     yield _record_batch(rows, schema)
                     rows, held = [], 0
             yield _record_batch(rows, schema)
 
     kinds = {"int64": "long", "int32": "int", "string": "string", "binary": "binary"}
-    return docs.select("doc_id", "text").mapInArrow(run, ", ".join(f"{k} {kinds[str(t)]}" for k, t in fields))
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, ", ".join(f"{k} {kinds[str(t)]}" for k, t in fields))
 
 
 def _record_batch(rows: list[list], schema: pa.Schema) -> pa.RecordBatch:

@@ -17,7 +17,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    cache = tokens.DigestCache(spark, os.environ.get("SIFTWELL_TOKEN_CACHE") or store.new_path(spark, "token-cache"))
+    cache = tokens.DigestCache(spark, os.environ.get("SIFTWELL_TOKEN_CACHE") or f"{store.shared_dir(spark)}/siftwell/token-cache")
     counts = tokens.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), cache)
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
 
@@ -35,7 +35,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jpeg.media_columns(_table(spark, sf_dir, "documents"))
+    media = store.Table(jpeg.stored_media(_table(spark, sf_dir, "documents")), "media")
+    columns = store.Table(jpeg.media_columns(media.read()), "media-columns")
+    media.drop()
+    return columns.read()
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
