@@ -1,30 +1,36 @@
 """WARC archives: writing, normalising of monolithic gzip files, and reading through a sidecar index.
 
-An archive whose whole file is one gzip stream can't be entered at a record. `normalise` inflates each such stream once, rewrites
-every record as a gzip member of its own, and returns beside it the offsets of the members. Archives are held as rows (archive,
-content) so that Spark's own committed writers put them into any shared store and a lost task leaves no half archive.
+An archive whose whole file is one gzip stream can't be entered at a record. `normalise` inflates such a stream once, rewrites
+every record as a gzip member of its own, and writes a sidecar index (a line `offset length record-id` for each member) beside it.
+Archives are files, `*.warc.gz` and `*.warc.gz.idx`, in a folder that executors share. A task writes under a name of its own and
+moves the finished file to its place, the index last; the rows it returns name what it wrote. A task that is lost and repeated
+writes other files, and only those that the returned rows name count.
 
 Null html is an empty payload; null urls leave out the target; rows with equal page_id each get a record; a null page_id gives a
 record without a number. Of rows with equal payloads of at least `min_revisit` bytes those with the smallest page_id are responses.
+Columns beyond page_id, url and html are ignored; an empty table gives no archives.
 """
 
 from __future__ import annotations
 
 import gzip
 import hashlib
+import io
 import re
+import uuid
 import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm import store
+from siftwell.llm import buckets, store
 from siftwell.llm import words as W
+from siftwell.sources import shared
 
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-INDEX = "array<struct<offset:long,length:long,record_id:string>>"
 
 
 def record(headers: list[tuple[str, str]], block: bytes) -> bytes:
@@ -47,18 +53,16 @@ def page_record(page_id, url: str | None, payload: bytes, digest: str, n_bytes:
 class Inflated:
     """Reads a gzip file of one or many members as one stream, holding no more than a record."""
 
-    def __init__(self, data: bytes, step: int = 1 << 16):
-        self.data, self.at, self.step, self.buffer, self.z = memoryview(data), 0, step, bytearray(), zlib.decompressobj(31)
+    def __init__(self, source, step: int = 1 << 16):
+        self.source, self.step, self.buffer, self.z = source, step, bytearray(), zlib.decompressobj(31)
 
     def fill(self) -> bool:
+        left = b""
         if self.z.eof:
-            left = self.z.unused_data
-            self.at -= len(left)
-            self.z = zlib.decompressobj(31)
-        if self.at >= len(self.data):
+            left, self.z = self.z.unused_data, zlib.decompressobj(31)
+        part = left or self.source.read(self.step)
+        if not part:
             return False
-        part = self.data[self.at : self.at + self.step]
-        self.at += len(part)
         self.buffer += self.z.decompress(part)
         return True
 
@@ -81,9 +85,9 @@ class Inflated:
         return out
 
 
-def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes, bytes]]:
+def records(source) -> Iterator[tuple[dict[str, str], bytes, bytes]]:
     """(headers, block, raw bytes) of every record of an archive, gzip-compressed as a whole or by record."""
-    stream = Inflated(data)
+    stream = Inflated(source)
     while (head := stream.until(b"\r\n\r\n")) is not None:
         lines = head.decode().split("\r\n")
         if not lines[0].startswith("WARC/"):
@@ -93,15 +97,32 @@ def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes, bytes]]:
         yield headers, block, head + block + stream.take(4)
 
 
-def normalise(data: bytes, level: int = 6) -> tuple[bytes, list[dict]]:
-    """One member a record, and the sidecar index: offset, length and id of each."""
-    out, index, at = [], [], 0
-    for headers, _, raw in records(data):
+def normalise(source, target, level: int = 6) -> list[tuple[int, int, str]]:
+    """Copies an archive with one member a record; returns the sidecar index: offset, length and id of each."""
+    index, at = [], 0
+    for headers, _, raw in records(source):
         member = gzip.compress(raw, level, mtime=0)
-        index.append({"offset": at, "length": len(member), "record_id": headers["WARC-Record-ID"]})
-        out.append(member)
+        target.write(member)
+        index.append((at, len(member), headers["WARC-Record-ID"]))
         at += len(member)
-    return b"".join(out), index
+    return index
+
+
+def index_lines(index: list[tuple[int, int, str]]) -> bytes:
+    return "".join(f"{offset} {length} {record_id}\n" for offset, length, record_id in index).encode()
+
+
+def read_index(data: bytes) -> list[tuple[int, int, str]]:
+    return [(int(o), int(n), i) for o, n, i in (line.split(" ", 2) for line in data.decode().splitlines())]
+
+
+@contextmanager
+def placed(fs, path: str):
+    """An output stream to a name of its own, moved to path when all is written."""
+    part = f"{path}.{uuid.uuid4().hex}.part"
+    with fs.open_output_stream(part, compression=None) as out:
+        yield out
+    fs.move(part, path)
 
 
 def _page_id(uri: str | None) -> int | None:
@@ -109,9 +130,9 @@ def _page_id(uri: str | None) -> int | None:
     return int(found[1]) if found else None
 
 
-def read_member(content: bytes, offset: int, length: int) -> dict:
-    """One record through its index entry; the payload of a response is checked against its digest."""
-    headers, block, _ = next(records(bytes(memoryview(content)[offset : offset + length])))
+def read_member(content: bytes) -> dict:
+    """The record in a member; the payload of a response is checked against its digest."""
+    headers, block, _ = next(records(io.BytesIO(content)))
     http, _, payload = block.partition(b"\r\n\r\n")
     digest = headers["WARC-Payload-Digest"].removeprefix("sha256:")
     n_bytes = int(re.search(rb"Content-Length: (\d+)", http)[1])
@@ -121,72 +142,93 @@ def read_member(content: bytes, offset: int, length: int) -> dict:
 
 
 def plan_records(pages: DataFrame, min_revisit: int = 100) -> DataFrame:
-    """Pages with digest, size, record type and the page a revisit refers to."""
+    """Pages with digest, size, record type and the page a revisit refers to. Payloads with very many copies gather nowhere."""
     html = F.coalesce("html", F.lit(""))
     pages = pages.select("page_id", "url", html.alias("html"), F.octet_length(html).cast("long").alias("n_bytes"), F.sha2(html.cast("binary"), 256).alias("digest"))
-    first = pages.where(F.col("n_bytes") >= min_revisit).groupBy("digest").agg(F.min("page_id").alias("first_id"))
+    first = pages.where(F.col("n_bytes") >= min_revisit).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
     repeats = F.col("first_id").isNotNull() & ~F.col("first_id").eqNullSafe(F.col("page_id"))
-    return pages.join(first, "digest", "left").select("page_id", "url", "html", "digest", "n_bytes", F.when(repeats, "revisit").otherwise("response").alias("kind"), F.when(repeats, F.col("first_id")).alias("refers_to"))
+    return buckets.join_spread(pages, first, "digest").select("page_id", "url", "html", "digest", "n_bytes", F.when(repeats, "revisit").otherwise("response").alias("kind"), F.when(repeats, F.col("first_id")).alias("refers_to"))
 
 
-def write_monolithic(planned: DataFrame, archive_bytes: int = 4 << 20) -> DataFrame:
-    """Archives (archive, content) of one gzip stream each, about archive_bytes before compression or a single record."""
+def write_monolithic(planned: DataFrame, folder: str, archive_bytes: int = 16 << 20) -> DataFrame:
+    """Writes files of one gzip stream each, about archive_bytes before compression or a single record; returns (archive, records)."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        z, held, out, name = None, 0, [], ""
+        fs, base = store.files(folder)
 
-        def archive():
-            return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([b"".join(out) + z.flush()], pa.binary())], names=["archive", "content"])
+        def rows() -> Iterator[bytes]:
+            for part in parts:
+                cols = [c.to_pylist() for c in part.columns]
+                cols[2] = W.utf8(part.column(2))
+                for row in zip(*cols, strict=True):
+                    yield page_record(*row)
 
-        for part in parts:
-            cols = [c.to_pylist() for c in part.columns]
-            cols[2] = W.utf8(part.column(2))
-            for page_id, url, html, digest, n_bytes, kind, refers_to in zip(*cols, strict=True):
-                raw = page_record(page_id, url, html, digest, n_bytes, kind, refers_to)
-                if z is None:
-                    z, held, out, name = zlib.compressobj(6, zlib.DEFLATED, 31), 0, [], f"pages-{page_id}-{digest[:8]}.warc.gz"
-                out.append(z.compress(raw))
-                held += len(raw)
-                if held >= archive_bytes:
-                    yield archive()
-                    z = None
-        if z is not None:
-            yield archive()
-
-    return planned.mapInArrow(run, "archive string, content binary")
-
-
-def normalise_archives(archives: DataFrame) -> DataFrame:
-    """(archive, content) with monolithic gzip to (archive, content, index) with a member for each record."""
+        source, pending = rows(), None
+        while (pending := next(source, None) if pending is None else pending) is not None:
+            path, held, n = f"{base}/pages-{uuid.uuid4().hex}.warc.gz", 0, 0
+            with placed(fs, path) as out:
+                z = zlib.compressobj(6, zlib.DEFLATED, 31)
+                while pending is not None and held < archive_bytes:
+                    out.write(z.compress(pending))
+                    held, n, pending = held + len(pending), n + 1, next(source, None)
+                out.write(z.flush())
+            yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([n], pa.int64())], names=["archive", "records"])
+
+    return planned.mapInArrow(run, "archive string, records long")
+
+
+def normalise_archives(archives: DataFrame, folder: str) -> DataFrame:
+    """Inflates each archive once and writes it anew with a member for each record, and its index; returns (archive, records)."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("archive", pa.string()), ("content", pa.binary()), ("index", pa.list_(pa.struct([("offset", pa.int64()), ("length", pa.int64()), ("record_id", pa.string())])))])
+        fs, base = store.files(folder)
         for part in parts:
-            for name, content in zip(part.column(0).to_pylist(), part.column(1), strict=True):
-                done, index = normalise(content.as_py())
-                yield pa.RecordBatch.from_pylist([{"archive": name, "content": done, "index": index}], schema)
+            for path, n in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                done = f"{base}/{uuid.uuid4().hex}-{path.rsplit('/', 1)[1]}"
+                with fs.open_input_stream(path, compression=None) as source, placed(fs, done) as out:
+                    index = normalise(source, out)
+                if len(index) != n:
+                    raise ValueError(f"{path}: {len(index)} records of {n}")
+                with placed(fs, f"{done}.idx") as out:
+                    out.write(index_lines(index))
+                yield pa.RecordBatch.from_arrays([pa.array([done]), pa.array([n], pa.int64())], names=["archive", "records"])
 
-    return archives.mapInArrow(run, f"archive string, content binary, index {INDEX}")
+    return archives.select("archive", "records").mapInArrow(run, "archive string, records long")
 
 
-def read_archives(archives: DataFrame, with_payload: bool = False) -> DataFrame:
-    """Every record of normalised archives, each entered at its offset."""
+def read_archives(archives: DataFrame, folder: str, with_payload: bool = False) -> DataFrame:
+    """Every record of normalised archives, each entered at the offset that the sidecar index gives."""
     fields = [("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())] + [("payload", pa.binary())] * with_payload
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, _ = store.files(folder)
         for part in parts:
-            for content, index in zip(part.column(1), part.column(2).to_pylist(), strict=True):
-                data = content.as_py()
-                rows = [read_member(data, x["offset"], x["length"]) for x in index]
-                yield pa.RecordBatch.from_pylist([{k: r[k] for k, _ in fields} for r in rows], pa.schema(fields))
-
-    return archives.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * with_payload)
-
-
-def round_trip(pages: DataFrame, min_revisit: int = 100) -> DataFrame:
-    """Writes pages to monolithic archives, normalises these, and reads every record back through the index."""
-    monolithic = store.Table(write_monolithic(plan_records(pages, min_revisit)), "warc-monolithic")
-    store.release(pages.sparkSession)
-    normal = store.Table(normalise_archives(monolithic.read()), "warc")
-    monolithic.drop()
-    return read_archives(normal.read())
+            for path in part.column(0).to_pylist():
+                with fs.open_input_stream(f"{path}.idx", compression=None) as source:
+                    index = read_index(source.read())
+                with fs.open_input_file(path) as source:
+                    for i in range(0, len(index), 256):
+                        rows = [read_member(source.read_at(length, offset)) for offset, length, _ in index[i : i + 256]]
+                        yield pa.RecordBatch.from_pylist([{k: r[k] for k, _ in fields} for r in rows], pa.schema(fields))
+
+    return archives.select("archive").mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * with_payload)
+
+
+def round_trip(pages: DataFrame, min_revisit: int = 100, folder: str | None = None) -> DataFrame:
+    """Writes pages to monolithic archives, normalises these, and reads every record back through the sidecar indexes.
+
+    The normalised archives and indexes stay in `folder` if one is given."""
+    spark = pages.sparkSession
+    raw, final = store.new_folder(spark, "warc-monolithic"), folder or store.new_folder(spark, "warc")
+    monolithic = store.Table(write_monolithic(plan_records(pages, min_revisit), raw), "warc-written")
+    store.release(spark)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spread = lambda t: t.read().repartition(n, "archive")  # the names are few bytes, the archives aren't
+    normal = store.Table(normalise_archives(spread(monolithic), final), "warc-normalised")
+    shared.delete(spark, raw)
+    found = store.Table(read_archives(spread(normal), final), "warc-records")
+    for t in (monolithic, normal):
+        t.drop()
+    if folder is None:
+        shared.delete(spark, final)
+    return found.read()
