@@ -6,9 +6,13 @@ parent, half to the grandparent, less beyond. The ancestor with the most points,
 its siblings that score well or read like prose.
 
 A class or id word may also name what a wrapper has (`has-sidebar`, `no-comments`). An element cut for such a word alone is spared
-where no article or main lies outside it and it holds one, or most of the page's text outside links.
+where no article or main lies outside it and it holds one, or most of the page's text outside links. A word inside a name that
+says something else too (`social-science`, `notice-board-history`) is weak evidence: such an element goes only if it doesn't read
+like prose.
 
-Null and empty html give an empty text; damaged markup is closed where it breaks off; repeated rows and other columns don't matter.
+Null and empty html give an empty text; damaged markup is closed where it breaks off, a tag that never ends takes the rest with
+it; repeated rows and other columns don't matter. Parsing, scoring and output take time in proportion to the page, however deep or
+broken it is: the parser keeps the places of open elements by tag, and points pass up once per element.
 """
 
 from __future__ import annotations
@@ -20,7 +24,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: After "<": a tag's slash, name and attributes. Quotes count after "=" only. Nothing is tried twice, and a tag without end fails once.
+TAG = re.compile(r"(/?)([a-zA-Z][^\s/>]*+)((?:=\s*+(?:\"[^\"]*+\"|'[^']*+')|[^>=]++|=)*+)>")
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)|(?<=\s)(hidden)(?=[\s/>]|$)")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template".split())
@@ -37,6 +42,12 @@ BAD_WORDS = frozenset(
     "sidebar comment comments commentlist disqus respond reply menu nav navbar navigation breadcrumb breadcrumbs footer header masthead share sharing social "
     "related recommended newsletter subscribe subscription signup login search pagination pager widget toolbar skip print alert outbrain taboola copyright".split()
 )
+#: Words of class names that say where or how something stands, not what it is.
+LAYOUT_WORDS = frozenset(
+    "box bar list area section wrapper wrap container slot block inner outer item items link links post posts article articles button buttons icon icons "
+    "unit top bottom left right main site page form holder panel group content col column row region module view title text head body global primary "
+    "secondary mobile desktop has no js elementor wp entry the in with by".split()
+)
 KEEP = frozenset("html body article main".split())
 
 
@@ -48,131 +59,155 @@ class Node:
         self.score, self.text, self.links, self.cut = 0.0, 0, 0, False
 
 
+class Stack:
+    """Open elements, with the places of each tag."""
+
+    def __init__(self, root: Node):
+        self.nodes, self.places = [root], {}
+        self.scopes, self.cells = [], []
+
+    def last(self, *tags: str) -> int:
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=-1)
+
+    def push(self, node: Node) -> None:
+        for kind in self._kinds(node.tag):
+            kind.append(len(self.nodes))
+        self.nodes.append(node)
+
+    def cut(self, at: int) -> None:
+        """Closes the element at a place and all inside it."""
+        while len(self.nodes) > at:
+            for kind in self._kinds(self.nodes.pop().tag):
+                kind.pop()
+
+    def _kinds(self, tag: str) -> list[list[int]]:
+        return [self.places.setdefault(tag, [])] + [self.scopes] * (tag in SCOPE) + [self.cells] * (tag in ("td", "th", "table"))
+
+
 def parse(page: str) -> Node:
-    root = node = Node("#root", None)
-    at, n = 0, len(page)
+    root = Node("#root", None)
+    stack, at, n = Stack(root), 0, len(page)
     while at < n:
-        m = TOKEN.search(page, at)
-        if m is None:
-            node.items.append(page[at:] if not re.match(r"<[/a-zA-Z]", page[at:]) else "")
-            tail = page.rfind("<", at)
-            if tail > at and re.match(r"<[/a-zA-Z]", page[tail:]):
-                node.items[-1] = page[at:tail]
+        here, mark = stack.nodes[-1], page.find("<", at)
+        if mark < 0:
+            here.items.append(entities.unescape(page[at:]))
             break
-        if m.start() > at:
-            node.items.append(page[at : m.start()])
-        at = m.end()
-        if m[2] is None:
-            if m[0].startswith("<![CDATA["):
-                node.items.append(m[0][9:].removesuffix("]]>"))
+        if mark > at:
+            here.items.append(entities.unescape(page[at:mark]))
+        kind = page[mark + 1 : mark + 2]
+        if kind in ("!", "?"):
+            opens, closes = next(((a, b) for a, b in (("<!--", "-->"), ("<![CDATA[", "]]>")) if page.startswith(a, mark)), (page[mark : mark + 2], ">"))
+            end = page.find(closes, mark + len(opens))
+            if opens == "<![CDATA[":
+                here.items.append(page[mark + 9 : end if end >= 0 else n])
+            at = end + len(closes) if end >= 0 else n
             continue
-        tag = m[2].lower()
+        if not (kind.isascii() and kind.isalpha()) and not re.match(r"/[a-zA-Z]", page[mark + 1 : mark + 3]):
+            here.items.append("<")
+            at = mark + 1
+            continue
+        m = TAG.match(page, mark + 1)
+        if m is None:
+            break
+        at, tag = m.end(), m[2].lower()
         if m[1]:
+            i = stack.last(tag)
             if tag == "br":
-                node.items.append(Node("br", node))
-                continue
-            x = node
-            while x is not None and x.tag != tag:
-                x = None if x.tag in ("td", "th", "table") and tag in INLINE else x.parent
-            if x is not None and x.parent is not None:
-                node = x.parent
+                here.items.append(Node("br", here))
+            elif i > 0 and not (tag in INLINE and stack.cells and stack.cells[-1] > i):
+                stack.cut(i)
             continue
-        if tag in BLOCKS:
-            x = node
-            while x is not None and x.tag != "p" and x.tag not in SCOPE:
-                x = x.parent
-            if x is not None and x.tag == "p":
-                node = x.parent
-        if tag in CLOSES:
-            closed, stop = CLOSES[tag]
-            x = node
-            while x is not None and x.tag not in closed and x.tag not in stop:
-                x = x.parent
-            if x is not None and x.tag in closed:
-                node = x.parent
-        child = Node(tag, node, m[3])
-        node.items.append(child)
+        if tag in BLOCKS and (p := stack.last("p")) > (stack.scopes[-1] if stack.scopes else -1):
+            stack.cut(p)
+        if tag in CLOSES and (i := stack.last(*CLOSES[tag][0])) > stack.last(*CLOSES[tag][1]):
+            stack.cut(i)
+        here = stack.nodes[-1]
+        child = Node(tag, here, m[3])
+        here.items.append(child)
         if tag in VOID:
             continue
         if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(page, at)
             at = end.end() if end else n
-            continue
-        if not m[3].endswith("/") or tag not in ("svg", "path", "use"):
-            node = child
+        elif not m[3].endswith("/") or tag not in ("svg", "path", "use"):
+            stack.push(child)
     return root
 
 
-def unwanted(node: Node) -> bool:
-    if node.tag in CUT:
-        return True
-    inside = node.parent
-    if node.tag == "header":
-        while inside is not None and inside.tag not in ("article", "main"):
-            inside = inside.parent
-        if inside is None:
-            return True
+def _attributes(node: Node) -> dict[str, str]:
     if not node.attributes or node.attributes == "/":
-        return False
-    found = {(m[1] or m[3]).lower(): (m[2] or "").strip("\"'").lower() for m in ATTRIBUTE.finditer(node.attributes)}
-    if node.tag in KEEP:
-        return False
-    if "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", "")) or found.get("role") in ROLES:
+        return {}
+    return {(m[1] or m[3]).lower(): (m[2] or "").strip("\"'").lower() for m in ATTRIBUTE.finditer(node.attributes)}
+
+
+def unwanted(node: Node, inside: bool) -> bool:
+    """Boilerplate by tag, role or visibility; inside: below an article or main."""
+    if node.tag in CUT or node.tag == "header" and not inside:
         return True
-    return False
+    found = {} if node.tag in KEEP else _attributes(node)
+    return bool(found) and bool("hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", "")) or found.get("role") in ROLES)
 
 
 def named(node: Node) -> int:
-    """2: a class or the id is a bad word; 1: one contains such a word; 0: neither."""
-    if not node.attributes or node.attributes == "/" or node.tag in KEEP:
-        return 0
-    found = {(m[1] or m[3]).lower(): (m[2] or "").strip("\"'").lower() for m in ATTRIBUTE.finditer(node.attributes)}
-    names = f"{found.get('class', '')} {found.get('id', '')}"
-    if not any(w in BAD_WORDS for w in re.split(r"[^a-z]+", names)):
+    """3: a class or the id is a bad word; 2: one is made of such a word and words of layout; 1: one has such a word among others; 0: none."""
+    if node.tag in KEEP:
         return 0
-    return 2 if any(w in BAD_WORDS for w in names.split()) else 1
+    found = _attributes(node)
+    best = 0
+    for name in f"{found.get('class', '')} {found.get('id', '')}".split():
+        parts = [p for p in re.split(r"[^a-z]+", name) if p]
+        if any(p in BAD_WORDS for p in parts):
+            best = max(best, 3 if name in BAD_WORDS else 2 if all(p in BAD_WORDS or p in LAYOUT_WORDS for p in parts) else 1)
+    return best
 
 
 def by_name(root: Node) -> set[int]:
     """The elements to cut for their class or id, without those that hold the page's own text."""
-    order, stack, kinds = [], [(root, False)], {}
+    order, stack, kinds = [], [(root, False, False)], {}
     while stack:
-        node, link = stack.pop()
+        node, link, inside = stack.pop()
         if node.tag != "#root":
-            if unwanted(node):
+            if unwanted(node, inside):
                 continue
             if kind := named(node):
                 kinds[id(node)] = kind
-        link = link or node.tag == "a"
+        link, inside = link or node.tag == "a", inside or node.tag in ("article", "main")
         order.append((node, link))
-        stack += [(x, link) for x in node.items if isinstance(x, Node)]
+        stack += [(x, link, inside) for x in node.items if isinstance(x, Node)]
     if not kinds:
         return set()
     text: dict[int, int] = {}
+    linked: dict[int, int] = {}
+    stops: dict[int, int] = {}
     held: dict[int, int] = {}
     for node, link in reversed(order):
-        own = [x for x in node.items if isinstance(x, Node)]
-        text[id(node)] = sum(text.get(id(x), 0) for x in own) + (0 if link else sum(len(x.strip()) for x in node.items if isinstance(x, str)))
-        held[id(node)] = sum(held.get(id(x), 0) for x in own) + (node.tag in ("article", "main"))
-    cut = set()
+        own, strings = [x for x in node.items if isinstance(x, Node)], [x for x in node.items if isinstance(x, str)]
+        size, i = sum(len(x.strip()) for x in strings), id(node)
+        text[i] = sum(text.get(id(x), 0) for x in own) + (0 if link else size)
+        linked[i] = sum(linked.get(id(x), 0) for x in own) + (size if link else 0)
+        stops[i] = sum(stops.get(id(x), 0) for x in own) + sum(x.count(".") + x.count("!") + x.count("?") + x.count("。") for x in strings)
+        held[i] = sum(held.get(id(x), 0) for x in own) + (node.tag in ("article", "main"))
+    cut, whole = set(), id(root)
     for x, kind in kinds.items():
-        most = 2 * text[x] > text[id(root)] if kind == 1 else 10 * text[x] > 9 * text[id(root)] and text[x] >= 250
-        if held[x] < held[id(root)] or not held[x] and not most:
+        if kind == 1 and text[x] >= 80 and stops[x] and 3 * linked[x] < text[x]:  # reads like prose
+            continue
+        most = 10 * text[x] > 9 * text[whole] and text[x] >= 250 if kind == 3 else 2 * text[x] > text[whole]
+        if held[x] < held[whole] or not held[x] and not most:
             cut.add(x)
     return cut
 
 
 def measure(root: Node) -> list[Node]:
     """Cuts boilerplate, counts text inside and outside links, and passes points up. Returns the nodes that got points."""
-    order, stack, cut = [], [root], by_name(root)
+    order, stack, cut = [], [(root, False)], by_name(root)
     while stack:
-        node = stack.pop()
-        if node.tag != "#root" and (id(node) in cut or unwanted(node)):
+        node, inside = stack.pop()
+        if node.tag != "#root" and (id(node) in cut or unwanted(node, inside)):
             node.cut, node.items = True, []
             continue
         order.append(node)
-        stack += [x for x in node.items if isinstance(x, Node)]
-    scored = []
+        inside = inside or node.tag in ("article", "main")
+        stack += [(x, inside) for x in node.items if isinstance(x, Node)]
     own: dict[int, int] = {}
     commas: dict[int, int] = {}
     for node in reversed(order):
@@ -192,16 +227,22 @@ def measure(root: Node) -> list[Node]:
         node.text, own[id(node)], commas[id(node)] = n, direct, c
         if node.tag == "a":
             node.links = n
+    points: dict[int, list[float]] = {id(node): [0.0, 0.0, 0.0] for node in order}  # own, from children, from further below
     for node in order:
         if node.text and (node.tag in PARAGRAPH or node.tag not in INLINE and node.tag not in ("#root", "html", "body", "h1", "br", "ul", "ol", "tr", "table", "tbody") and own[id(node)] >= 25):
-            points = (1 + commas[id(node)] + min(node.text // 100, 3)) * (1 - node.links / node.text)
-            up, level = node.parent if node.tag in PARAGRAPH else node, 0
-            while up is not None and up.tag != "#root" and points > 0:
-                if not up.score:
-                    scored.append(up)
-                up.score += points if level == 0 else points / 2 if level == 1 else points / (3 * level)
-                up, level = up.parent, level + 1
-    return scored
+            to = node.parent if node.tag in PARAGRAPH else node
+            points[id(to)][0] += max((1 + commas[id(node)] + min(node.text // 100, 3)) * (1 - node.links / node.text), 0.0)
+    scored = []
+    for node in reversed(order):  # below before above: half to the parent, a sixth to the grandparent, half of that to the next
+        first, second, rest = points[id(node)]
+        if node.parent is not None:
+            up = points[id(node.parent)]
+            up[1] += first / 2
+            up[2] += second / 3 + rest / 2
+            node.score = first + second + rest
+            if node.score > 0:
+                scored.append(node)
+    return scored[::-1]
 
 
 def density(node: Node) -> float:
@@ -258,7 +299,7 @@ def flat(nodes: list[Node]) -> str:
                 out.append(" ")
                 stack.append(" ")
                 stack += reversed(x.items)
-    return " ".join(entities.unescape("".join(out)).split())
+    return " ".join("".join(out).split())
 
 
 def extract(page: str | None) -> str:

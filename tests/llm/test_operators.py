@@ -2,6 +2,8 @@
 
 import gzip
 import hashlib
+import io
+import time
 import random
 
 import numpy as np
@@ -166,11 +168,11 @@ def test_token_counts_of_null_ids(spark, tmp_path):
 
 
 def test_media_round_trip(docs, rows):
-    got = {r.doc_id: r for r in jpeg.media_columns(docs, with_media=True, with_tensor=True).collect()}
+    got = {r.doc_id: r for r in jpeg.media_columns(store.Table(jpeg.stored_media(docs), "test-media").read(), with_tensor=True).collect()}
     for i, t, *_ in rows:
         raw = jpeg.pad((t or "").encode())
         assert (got[i].payload_bytes, got[i].payload_sha256) == (len(raw), hashlib.sha256(raw).hexdigest())
-        assert len(got[i].rgb) == got[i].height * got[i].width * 3 and bytes(got[i].media) == jpeg.encode_payload(raw)
+        assert len(got[i].rgb) == got[i].height * got[i].width * 3 and got[i].media_sha256 == hashlib.sha256(jpeg.encode_payload(raw)).hexdigest()
     assert got[6].feature == got[7].feature
 
 
@@ -203,8 +205,23 @@ def test_warc(spark):
         raw = (h or "").encode()
         assert (got[i].payload_bytes, got[i].payload_digest) == (len(raw), hashlib.sha256(raw).hexdigest())
     raw = [warc.record([("WARC-Type", "response"), ("WARC-Record-ID", f"<{k}>")], b"b" * k) for k in range(5)]
-    done, index = warc.normalise(gzip.compress(b"".join(raw[:3])) + gzip.compress(b"".join(raw[3:])))
-    assert [gzip.decompress(done[x["offset"] : x["offset"] + x["length"]]) for x in index] == raw
+    done = io.BytesIO()
+    index = warc.read_index(warc.index_lines(warc.normalise(io.BytesIO(gzip.compress(b"".join(raw[:3])) + gzip.compress(b"".join(raw[3:]))), done)))
+    assert [gzip.decompress(done.getvalue()[offset : offset + length]) for offset, length, _ in index] == raw
+
+
+def test_warc_files_repeats_and_clashes(spark, tmp_path):
+    pages = spark.createDataFrame([(None, "u", "p" * 200, 1), (3, "u", "p" * 200, 2), (3, "u", "p" * 200, 3), (9, None, None, 4)], "page_id long, url string, html string, digest long")
+    (tmp_path / "out").mkdir()
+    got = sorted(((r.page_id or 0, r.record_type, r.refers_to) for r in warc.round_trip(pages, folder=f"file://{tmp_path}/out").collect()), key=str)
+    assert got == [(0, "revisit", 3), (3, "response", None), (3, "response", None), (9, "response", None)]
+    names = sorted(p.name for p in (tmp_path / "out").iterdir() if not p.name.startswith("."))
+    assert names and all(f"{n}.idx" in names for n in names if n.endswith(".warc.gz")) and not [n for n in names if n.endswith(".part")]
+    for n in names:
+        if n.endswith(".warc.gz"):  # any reader of such files can open them
+            whole = gzip.decompress((tmp_path / "out" / n).read_bytes())
+            assert whole.startswith(b"WARC/1.1\r\n")
+    assert warc.round_trip(pages.where("false")).count() == 0
 
 
 def test_html():
@@ -224,10 +241,26 @@ def test_html_wrappers_named_after_what_they_have():
         for inner in (prose, f"<article>{prose}</article>", f"<main>{prose}</main>"):
             page = f'<body><div id=page class="{name}">{inner}<div class="sidebar"><p>Side, by side, of it all.</p></div></div><div class="ad"><p>Ad, ad.</p></div></body>'
             assert html.extract(page) == want, (name, inner[:9])
+    for name in ("post social-science", "notice-board-history"):
+        assert html.extract(f'<body><article><h1>T</h1><div class="{name}">{prose}</div></article></body>').endswith(want)
+        assert html.extract(f'<body><div class="{name}">{prose}</div><div class="ad-slot"><p>Ad, ad, ad.</p></div></body>') == want
+    assert html.extract(f'<body><article>{prose}<div class="share-this"><a href=x>Share it here</a></div></article></body>') == want
     comments = '<section class="comments-area">' + "<article><p>" + "A comment, long, longer. " * 90 + "</p></article></section>"
     assert html.extract(f"<body><article>{prose}{comments}</article></body>") == html.extract(f"<body><article>{prose}</article>{comments}</body>") == want
 
 
+def test_html_references_and_damage():
+    assert html.extract("<p>&am<b>p;lt;</b> &amp;lt; <![CDATA[&amp;]]> x&nbsp;y</p>") == "&amp;lt; &lt; &amp; x y".replace("&amp;lt; &lt;", "&am" + "p;lt; &lt;")
+    assert html.extract('<p title=">a">b</p><p a=""">c</p>') == "b c"
+
+
+def test_html_takes_time_in_proportion():
+    for page in ("<a " * 300_000, "<div>" * 200_000 + "text, here", "</b>" * 250_000, "<td><b>" * 100_000 + "</i>" * 100_000, "<header>" * 120_000, "<p>a, b " * 120_000, "<" * 1_000_000, '<a b="' * 150_000, "<div class=x-ad>t" * 60_000, "<!--" * 250_000):
+        began = time.process_time()
+        html.extract(page)
+        assert time.process_time() - began < 8, page[:20]
+
+
 def test_mixing(docs, rows, empty):
     got = mixing.mix(docs, block_rows=2, temperature=1.0).collect()
     assert sorted(r.doc_id for r in got) == [r[0] for r in rows]
@@ -302,7 +335,7 @@ def test_classifiers(spark):
 
 def test_empty_tables_and_repeats(spark, empty, docs):
     bench = spark.createDataFrame([], "item_id long, text string")
-    for f in (ngram_join.classes, substring.report, jpeg.media_columns, lambda d: decontaminate.report(d, bench), substring.remove, ngram_join.keep_one):
+    for f in (ngram_join.classes, substring.report, jpeg.stored_media, lambda d: decontaminate.report(d, bench), substring.remove, ngram_join.keep_one):
         assert f(empty).count() == 0
     twice = docs.union(docs)
     n = docs.count()
