@@ -29,6 +29,14 @@ def files(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+def free_prefix(columns: list[str], *names: str) -> str:
+    """A prefix of underscores under which none of the names is a column yet (column names don't differ by case alone)."""
+    prefix, taken = "__", {c.lower() for c in columns}
+    while any(f"{prefix}{n}".lower() in taken for n in names):
+        prefix += "_"
+    return prefix
+
+
 class Table:
     """A written table. `read()` gives a DataFrame without lineage; `drop()` deletes the files."""
 
