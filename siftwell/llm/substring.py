@@ -190,8 +190,9 @@ def _mark(n: int, copy: bool, runs: list[int] | None, width: int) -> np.ndarray:
 
 def _apply(docs: DataFrame, columns: list[str], width: int, gram: int, rows: str, edit) -> DataFrame:
     """Joins the decisions to the rows of docs and calls edit(batch of columns, kept words and number of words of each row)."""
-    info = covered(docs, width, gram).groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_set(F.struct("sig", "n", "copy", "runs")).alias("__info"))
-    joined = docs.select(*columns).join(info.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(F.col("__doc"))).select(*columns, "__info")
+    p = store.free_prefix(columns, "doc", "info")
+    info = covered(docs, width, gram).groupBy(F.col("doc_id").alias(f"{p}doc")).agg(F.collect_set(F.struct("sig", "n", "copy", "runs")).alias(f"{p}info"))
+    joined = docs.select(*columns).join(info.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(F.col(f"{p}doc"))).select(*columns, f"{p}info")
     at = columns.index("text")
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

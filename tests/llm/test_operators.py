@@ -4,6 +4,7 @@ import gzip
 import hashlib
 import io
 import time
+from fractions import Fraction
 import random
 
 import numpy as np
@@ -269,10 +270,6 @@ def test_mixing(docs, rows, empty):
     for r in got:
         blocks.setdefault(r.mix_slot, set()).add((r.source, r.mix_block))
     assert sorted(blocks) == list(range(len(blocks))) and all(len(b) == 1 for b in blocks.values())
-    q = mixing.shares({"a": 0.5, "b": 0.3, "c": 0.2}, 1000)
-    slots = mixing.edf(q)
-    for s, n in q.items():
-        assert all(abs(sum(t <= x for t in slots[s]) - (x + 1) * n / 1000) < 1 for x in range(1000))
     assert mixing.mix(empty).count() == 0
 
 
@@ -293,6 +290,41 @@ def test_mixing_keeps_to_the_weights_over_many_frames(spark):
             assert all(abs(k - t * w[s] / total) < 1 + 1e-4 and abs(k + 1 - (t + 1) * w[s] / total) < 1 + 1e-4 for k, t in enumerate(slots)), s
 
 
+def test_plans_deviate_by_less_than_a_block():
+    """Against the fluid mixture, by exact fractions, over many slots."""
+    for weights in ({"a": 1, "b": 1, "c": 1}, {"a": 1_000_000, "b": 1}, {"a": 5, "b": 3, "c": 3, "d": 1}):
+        total, end = sum(weights.values()), 300_000
+        blocks = {s: w * end // total + 1 for s, w in weights.items()}
+        last = min(Fraction(blocks[s] * total, w) for s, w in weights.items())
+        for s, slots, _, _ in mixing.plan(blocks, {s: float(w) for s, w in weights.items()}):
+            for k, t in enumerate(slots.tolist()):
+                if t + 1 < last:
+                    assert abs(k - Fraction(t * weights[s], total)) < 1 + Fraction(1, 10**5) and abs(k + 1 - Fraction((t + 1) * weights[s], total)) < 1 + Fraction(1, 10**5)
+
+
+def test_plan_is_earliest_deadline_first():
+    r = random.Random(2)
+    for _ in range(20):
+        blocks = {f"s{i}": r.randint(1, 12) for i in range(r.randint(1, 5))}
+        found = list(mixing.plan(blocks, {s: r.choice([1.0, 2.0, 0.3, 7.0]) for s in blocks}))
+        jobs = [(int(d), s, k, int(t)) for s, _, release, due in found for k, (t, d) in enumerate(zip(release, due, strict=True))]
+        want, done = {}, {s: 0 for s in blocks}
+        for t in range(sum(blocks.values())):
+            due, s, k, _ = min((j for j in jobs if j[3] <= t and j[2] == done[j[1]]), key=lambda j: (j[0], j[1]))
+            assert t < due
+            want[s, k], done[s] = t, done[s] + 1
+        assert {(s, k): int(t) for s, slots, _, _ in found for k, t in enumerate(slots)} == want
+
+
+def test_mixing_many_sources_large_tables_and_clashes(spark):
+    docs = spark.range(400).selectExpr("id as doc_id", "concat('s', case when id < 200 then 0 else id % 50 end) as source", "id as mix_block", "'x' as mix_slot")
+    got = mixing.mix(docs, max_sources=5, max_blocks=40)
+    assert got.columns == [*docs.columns, *[f"_mix_{c}" for c in ("block", "slot", "release", "deadline", "place")]]
+    rows = got.collect()
+    assert sorted(r.doc_id for r in rows) == list(range(400)) and all(r.mix_block == r.doc_id and r["_mix_release"] <= r["_mix_slot"] < r["_mix_deadline"] for r in rows)
+    assert len({r["_mix_slot"] for r in rows}) <= 40 + 6 and max(r["_mix_place"] for r in rows) == 15
+
+
 def test_null_and_repeated_ids_in_join_and_decontamination(spark):
     r = random.Random(7)
     base, alone, item = words(r, 120), words(r, 80), words(r, 40)
@@ -312,10 +344,21 @@ def test_null_and_repeated_ids_in_join_and_decontamination(spark):
     docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(data)], "doc_id long, text string, k int")
     want = [(1, "q  r", 0), (1, "q  r", 1), (None, "clean", 3), (4, None, 5), (None, "s ", 6)]
     assert sorted((tuple(x) for x in decontaminate.clean(docs, bench).collect()), key=lambda x: x[2]) == want
-    shuffled = decontaminate.scan(docs, bench, broadcast_bytes=0, whole=True).collect()
+    shuffled = decontaminate.scan(docs, bench, broadcast_bytes=0, whole="__").collect()
     assert {x.k: len(x["__items"]) for x in shuffled} == {0: 1, 1: 1, 2: 2, 3: 0, 4: 2, 5: 0, 6: 1}
 
 
+def test_clashing_columns(spark):
+    r = random.Random(4)
+    names = ["__items", "__spans", "__text", "__doc", "__info", "__id", "__candidates", "__n_words", "mix_slot", "__mix_s", "root", "key"]
+    docs = spark.createDataFrame([(i, words(r, 40), "s", *["c"] * len(names)) for i in range(6)], "doc_id long, text string, source string, " + ", ".join(f"{c} string" for c in names))
+    bench = spark.createDataFrame([(1, docs.first().text)], "item_id long, text string")
+    for found in (decontaminate.clean(docs, bench), substring.remove(docs), ngram_join.keep_one(docs), toxicity.keep_clean(docs, spark.createDataFrame([], "doc_id long, toxic int"))):
+        assert found.columns == docs.columns and all(x[c] == "c" for x in found.collect() for c in names)
+    assert mixing.mix(docs).columns[: len(docs.columns)] == docs.columns and mixing.mix(docs).count() == 6
+    assert decontaminate.scan(docs, bench, broadcast_bytes=0, whole="___").count() == 6
+
+
 def test_classifiers(spark):
     r = random.Random(1)
     bad = ["grumbo", "fleevix"]
