@@ -38,15 +38,17 @@ def keyed_nodes(docs: DataFrame, describe: Callable[[np.ndarray], tuple[int, int
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, sig long, keys array<long>")
 
 
-def join_spread(left: DataFrame, right: DataFrame, key: str, most: int = 1024) -> DataFrame:
+def join_spread(left: DataFrame, right: DataFrame, key: str, most: int = 1024, counts: DataFrame | None = None) -> DataFrame:
     """left join right on key, right holding each key at most once, without gathering a frequent key in one task.
 
     Keys that hold at least one in `most` of left's rows, of which there can't be more than `most`, meet a broadcast of their rows
-    of right; rows of left with a null key meet nothing; the others are shuffled. Columns: left's, then right's without the key."""
+    of right; rows of left with a null key meet nothing; the others are shuffled. Columns: left's, then right's without the key.
+    counts (key, n), if the caller has them, spare a pass over left."""
     width = [c for c in right.columns if c != key]
-    total = left.where(F.col(key).isNotNull()).count()
-    counts = left.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("__n")).where(F.col("__n") >= max(total // most, 2))
-    hot = [r[0] for r in counts.select(key).collect()]  # at most `most` keys
+    if counts is None:
+        counts = left.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"))
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot = [r[0] for r in counts.where(F.col("n") >= max(-(-total // most), 32)).select(key).collect()]  # at most `most` keys
     lone = left.where(F.col(key).isNull()).select("*", *[F.lit(None).cast(right.schema[c].dataType).alias(c) for c in width])
     rest = left.where(F.col(key).isNotNull())
     if not hot:
@@ -63,13 +65,16 @@ def signed(x: int) -> int:
 
 
 def shared_keys(nodes: DataFrame) -> store.Table:
-    """(key, sig, holders) for every key that at least two different sigs hold. Counting first drops the keys of one text only."""
+    """(key, sig, lo, holders) for every key that at least two different sigs hold, lo the smallest of them. Counting first drops
+    the keys of one text only."""
     spark = nodes.sparkSession
     entries = nodes.where(F.size("keys") > 0).select("sig", F.explode("keys").alias("key"))
     several = entries.groupBy("key").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi"), F.count("*").alias("holders")).where("lo <> hi")
-    several = store.Table(several.select("key", "holders"), "shared-keys")
+    several = store.Table(several.select("key", "lo", "holders"), "shared-keys")
     store.release(spark)
-    held = store.Table(entries.join(several.read().hint("shuffle_hash"), "key").distinct(), "held-keys")
+    known = several.read()
+    met = join_spread(entries, known, "key", counts=known.select("key", F.col("holders").alias("n"))).where("lo is not null")
+    held = store.Table(met.select("key", "sig", "lo", "holders").distinct(), "held-keys")
     several.drop()
     store.release(spark)
     return held

@@ -1,15 +1,17 @@
 """Jaccard join of documents on word n-grams by vertical partitioning.
 
-Every distinct set of n-grams is a node; copies share one. The global order of n-grams (by 64-bit hash) is cut into 2^L fragments,
-L chosen by size so that two linked sets differ in fewer n-grams than there are fragments: at least one fragment then overlaps
-wholly. Fragments therefore meet separately, by the digest of what a set holds there, and only sets that agree on a fragment become
-candidates. A parity bitmap gives each candidate pair a lower bound of its difference; the pairs that remain are verified by
-counting partial overlaps fragment by fragment and summing them per pair, stopping once the difference is too large.
+Every distinct set of n-grams is a node; copies share one. The global order of n-grams (by 64-bit hash) is cut into fragments, 2^L of
+them, L by size, nested so that sets cut differently still meet. A fragment's digest is the exclusive or of its hashes.
 
-No group is expanded into all its pairs. In two rounds (a quarter of the buckets, then all) each bucket gives a spanning forest of
-its likely pairs across components; verified links are contracted; then the pairs that still cross components are examined, all
-of them, so no link between components is lost.
-Buckets of more than `block` members are dealt into pairs of blocks over many tasks.
+Candidates. Two linked sets differ in fewer n-grams than there are fragments at the pair's level, so at least one fragment overlaps
+wholly: sets meet by (fragment, digest). A bucket first gives a star of pairs around its smallest set, in a second round a star around
+another; verified links are contracted after each round. Only buckets whose sets then still lie in several components are
+searched for the rest, all of them, dealt into pairs of blocks, with a parity bitmap as a lower bound of the difference. So no
+group is expanded into all its pairs, and no link between components is lost.
+
+Verification. Fragments with equal digests overlap wholly; more of them unequal than the rule lets n-grams differ refutes a pair.
+For each other fragment a row (pair, fragment) meets the n-grams that either set has there; partial overlaps are counted fragment
+by fragment and then summed per pair. Frequent keys, sets and copies are joined without gathering in a task.
 
 Words are split at ASCII white space after lower-casing A-Z. With fewer than n words the whole sequence is one n-gram; null,
 empty and blank texts have no set and link with nothing; equal texts and repeated rows are one node; other columns are ignored.
@@ -110,26 +112,6 @@ def likely(rule: Rule, a: int, b: int, x: int, y: int) -> bool:
     return a * rule.den >= b * rule.num and b * rule.den >= a * rule.num and (x ^ y).bit_count() <= rule.difference(a + b)
 
 
-def forest(rule: Rule, sizes: list[int], maps: list[int], roots: list[int]) -> list[tuple[int, int]]:
-    """A spanning forest, over components, of the likely pairs."""
-    up = {r: r for r in roots}
-
-    def find(x: int) -> int:
-        while up[x] != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
-
-    out = []
-    for u in range(len(sizes)):
-        for v in range(u):
-            a, b = find(roots[u]), find(roots[v])
-            if a != b and likely(rule, sizes[u], sizes[v], maps[u], maps[v]):
-                up[a] = b
-                out.append((u, v))
-    return out
-
-
 def _groups(parts: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
     """Runs of rows with equal first column."""
     held: list[tuple] = []
@@ -148,26 +130,6 @@ def _emit(pairs: set[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
 
-def forest_pairs(rule: Rule, members: DataFrame) -> DataFrame:
-    """members (key, sig, n, bitmap, root), of any bucket size. Pairs to verify first; any likely pair left out is still found later."""
-
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: set[tuple[int, int]] = set()
-        for group in _groups(parts):
-            for i in range(0, len(group), rule.block):
-                rows = group[i : i + rule.block]
-                for u, v in forest(rule, [r[2] for r in rows], _fold([r[3] for r in rows]), [r[4] for r in rows]):
-                    a, b = rows[u][1], rows[v][1]
-                    out.add((min(a, b), max(a, b)))
-            if len(out) > 200_000:
-                yield _emit(out)
-                out = set()
-        yield _emit(out)
-
-    dealt = members.select("key", "sig", "n", "bitmap", "root").repartition("key").sortWithinPartitions("key", "sig")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
-
-
 def cross_pairs(rule: Rule, members: DataFrame) -> DataFrame:
     """members (key, sig, n, bitmap, root, holders): every likely pair of different roots in a bucket."""
     blocks = F.ceil(F.col("holders") / rule.block).cast("int")
@@ -194,47 +156,51 @@ def cross_pairs(rule: Rule, members: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def overlap(rule: Rule, a: np.ndarray, b: np.ndarray) -> int:
-    """Partial overlaps by fragment, summed; -1 as soon as the fragments so far differ too much."""
-    level = max(rule.level(len(a) + len(b)) - 2, 0)
-    most, total, differ = rule.difference(len(a) + len(b)), 0, 0
-    ends = (np.arange(1, (1 << level) + 1, dtype=np.float64) * 2.0 ** (64 - level)).astype(np.float64)
-    cut_a, cut_b = (np.searchsorted(x, (np.arange(1, 1 << level, dtype=W.U) << W.U(64 - level)) if level else np.empty(0, W.U)) for x in (a, b))
-    cut_a, cut_b = np.r_[0, cut_a, len(a)], np.r_[0, cut_b, len(b)]
-    for f in range(len(ends)):
-        x, y = a[cut_a[f] : cut_a[f + 1]], b[cut_b[f] : cut_b[f + 1]]
-        part = len(x) if len(x) == len(y) and np.array_equal(x, y) else int(np.isin(x, y, assume_unique=True, kind="sort").sum())
-        total += part
-        differ += len(x) + len(y) - 2 * part
-        if differ > most:
-            return -1
-    return total
-
-
-def verify(rule: Rule, pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs that link. texts: (sig, text)."""
-    a, b = texts.select(F.col("sig").alias("a"), F.col("text").alias("left")), texts.select(F.col("sig").alias("b"), F.col("text").alias("right"))
-    both = pairs.join(a, "a").join(b, "b").select("a", "b", "left", "right")
-
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            ok, known = [], {}
-            left, right = W.utf8(part.column(2)), W.utf8(part.column(3))
-
-            def gram(text: bytes, known: dict = known) -> np.ndarray:
-                if text not in known:
-                    if len(known) > 200:
-                        known.clear()
-                    known[text] = grams(W.Batch([text.translate(FOLD)], W.NON_SPACE).hashes, rule.n)
-                return known[text]
-
-            for x, y in zip(left, right, strict=True):
-                g, h = gram(x), gram(y)
-                common = overlap(rule, g, h)
-                ok.append(common >= 0 and rule.links(len(g), len(h), common))
-            yield part.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    return both.mapInArrow(run, "a long, b long")
+def cut_level(rule: Rule, n: int) -> int:
+    """Fragments in which a set is stored: about half as many as a partner may differ in."""
+    return max(rule.level(2 * n) - 1, 0)
+
+
+def cut(rule: Rule, g: np.ndarray) -> tuple[int, np.ndarray, list[np.ndarray]]:
+    """Level, digests and n-grams of the fragments of a set."""
+    level = cut_level(rule, len(g))
+    bounds = np.searchsorted(g >> W.U(64 - level), np.arange((1 << level) + 1, dtype=W.U)) if level else np.array([0, len(g)])
+    folded = np.r_[W.U(0), np.bitwise_xor.accumulate(W.mix(g ^ _A))]
+    return level, folded[bounds[1:]] ^ folded[bounds[:-1]], [g[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+
+
+def verify(rule: Rule, pairs: DataFrame, sets: DataFrame) -> store.Table:
+    """The pairs (a, b) that link. sets: (sig, n, level, digests, fragments)."""
+    shape = sets.select("sig", "n", "level", "digests")
+    sides = pairs
+    for x in ("a", "b"):
+        sides = buckets.join_spread(sides, shape.select(F.col("sig").alias(x), F.col("n").alias(f"n_{x}"), F.col("level").alias(f"level_{x}"), F.col("digests").alias(f"digests_{x}")), x, counts=pairs.groupBy(x).agg(F.count("*").alias("n")))
+    level = F.least("level_a", "level_b")
+
+    def folded(x: str) -> F.Column:
+        step = F.pow(F.lit(2), F.col(f"level_{x}") - level).cast("int")
+        return F.transform(F.sequence(F.lit(0), F.pow(F.lit(2), level).cast("int") - 1), lambda f: F.aggregate(F.slice(f"digests_{x}", f * step + 1, step), F.lit(0).cast("long"), lambda u, v: u.bitwiseXOR(v)))
+
+    unequal = F.filter(F.transform(F.arrays_zip(folded("a").alias("x"), folded("b").alias("y")), lambda d, f: F.when(d["x"] != d["y"], f)), lambda f: f.isNotNull())
+    most = F.floor((F.col("n_a") + F.col("n_b")) * (rule.den - rule.num) / (rule.den + rule.num))
+    fits = (F.col("n_a") * rule.den >= F.col("n_b") * rule.num) & (F.col("n_b") * rule.den >= F.col("n_a") * rule.num)
+    open_ = store.Table(sides.where(fits).withColumn("unequal", unequal).where(F.size("unequal") <= most).select("a", "b", "n_a", "n_b", "level_a", "level_b", F.explode("unequal").alias("fragment")), "ngram-open")
+
+    def side(x: str) -> DataFrame:
+        finer = F.pow(F.lit(2), F.col(f"level_{x}") - level).cast("int")
+        own = F.explode(F.sequence(F.col("fragment") * finer, (F.col("fragment") + 1) * finer - 1))
+        return open_.read().withColumn("own", own).select("a", "b", "n_a", "n_b", "fragment", F.lit(x).alias("side"), F.concat_ws(":", x, "own").alias("at"))
+
+    wanted = store.Table(side("a").unionByName(side("b")), "ngram-sides")
+    grams = sets.select("sig", F.posexplode("fragments").alias("own", "grams")).where(F.size("grams") > 0).select(F.concat_ws(":", "sig", "own").alias("at"), "grams")
+    met = buckets.join_spread(wanted.read(), grams, "at")
+    here = met.groupBy("a", "b", "n_a", "n_b", "fragment").agg(*[F.flatten(F.collect_list(F.when(F.col("side") == x, F.coalesce("grams", F.array().cast("array<long>"))))).alias(x + "s") for x in ("a", "b")])
+    partial = here.select("a", "b", "n_a", "n_b", F.size("as").alias("size"), F.size(F.array_intersect("as", "bs")).alias("common"))
+    total = partial.groupBy("a", "b", "n_a", "n_b").agg((F.col("n_a") - F.sum("size") + F.sum("common")).alias("overlap"))
+    links = store.Table(total.where(F.col("overlap") * rule.den >= (F.col("n_a") + F.col("n_b") - F.col("overlap")) * rule.num).select("a", "b"), "ngram-links")
+    for t in (open_, wanted):
+        t.drop()
+    return links
 
 
 def numbered(docs: DataFrame) -> tuple[DataFrame, int | None]:
@@ -273,56 +239,76 @@ def _classes(docs: DataFrame, rule: Rule) -> DataFrame:
     wanted = held.read().select("sig").distinct().join(first, "sig").select("sig", F.col("class_id").alias("doc_id"))
 
     def bits(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        longs = pa.list_(pa.int64())
         for part in parts:
             raw, sigs = W.utf8(part.column(1)), part.column(0).to_pylist()
-            n, maps, ok = [], [], []
             for i, j, batch in W.batches([t.translate(FOLD) for t in raw], W.NON_SPACE):
+                rows = []
                 for k in range(j - i):
                     g = grams(batch.hashes[batch.first[k] : batch.last[k]], rule.n)
-                    ok.append(len(g) > 0 and signature(g) == sigs[i + k])  # a doc_id may repeat
-                    n.append(len(g))
-                    maps.append(bitmap(g))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(maps, pa.binary()), part.column(1)], names=["sig", "n", "bitmap", "text"]).filter(pa.array(ok, pa.bool_()))
-
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(wanted.hint("shuffle_hash"), "doc_id").select("sig", "text").mapInArrow(bits, "sig long, n long, bitmap binary, text string")
-    texts = store.Table(texts, "ngram-texts")
+                    if len(g) and signature(g) == sigs[i + k]:  # a doc_id may repeat
+                        level, digests, fragments = cut(rule, g)
+                        rows.append((sigs[i + k], len(g), level, digests.view(np.int64), [f.view(np.int64) for f in fragments], bitmap(g)))
+                cols = list(zip(*rows, strict=True)) or [()] * 6
+                kinds = (pa.int64(), pa.int64(), pa.int32(), longs, pa.list_(longs), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["sig", "n", "level", "digests", "fragments", "bitmap"])
+
+    sets = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(wanted.hint("shuffle_hash"), "doc_id").select("sig", "text").mapInArrow(bits, "sig long, n long, level int, digests array<long>, fragments array<array<long>>, bitmap binary")
+    sets = store.Table(sets.dropDuplicates(["sig"]) if _repeats(docs) else sets, "ngram-sets")
     store.release(spark)
-    one = texts.read().select("sig", "n", "bitmap", "text").dropDuplicates(["sig"]) if _repeats(docs) else texts.read()
-    shape = one.select("sig", "n", "bitmap")
 
     def linked(pairs: DataFrame) -> store.Table:
-        pairs = store.Table(pairs, "ngram-pairs")
+        pairs = store.Table(pairs.distinct(), "ngram-pairs")
         store.release(spark)
-        links = store.Table(verify(rule, pairs.read(), one.select("sig", "text")), "ngram-links")
+        links = verify(rule, pairs.read(), sets.read())
         pairs.drop()
         store.release(spark)
         return links
 
-    def across(roots: store.Table) -> DataFrame:
-        """Members of the buckets that hold more than one component."""
-        rooted = held.read().join(roots.read().toDF("sig", "root"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
-        mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-        return rooted.join(mixed.hint("shuffle_hash"), "key").join(shape, "sig")
-
-    some = held.read().where(F.pmod("key", F.lit(4)) == 0).join(shape, "sig").withColumn("root", F.col("sig"))
+    def across(roots: store.Table) -> store.Table:
+        """Members of the buckets that hold more than one component, each with its root and one member of the bucket (rep, rep_root)."""
+        rooted = store.Table(held.read().join(roots.read().toDF("sig", "root"), "sig", "left").select("key", "sig", "holders", F.coalesce("root", "sig").alias("root")), "ngram-rooted")
+        order = F.xxhash64("sig")
+        mixed = rooted.read().groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("members"), F.min_by(F.struct("sig", "root"), order).alias("rep")).where("lo <> hi")
+        mixed = store.Table(mixed.select("key", "members", F.col("rep.sig").alias("rep"), F.col("rep.root").alias("rep_root")), "ngram-mixed")
+        met = buckets.join_spread(rooted.read(), mixed.read(), "key", counts=mixed.read().select("key", F.col("members").alias("n"))).where("rep is not null")
+        out = store.Table(met.select("key", "sig", "holders", "root", "rep", "rep_root"), "ngram-across")
+        for t in (rooted, mixed):
+            t.drop()
+        return out
+
+    def star(x: F.Column, y: F.Column, members: DataFrame) -> DataFrame:
+        return members.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).where("a <> b")
+
+    def rest(members: DataFrame) -> DataFrame:
+        shape = sets.read().select("sig", "n", "bitmap")
+        return cross_pairs(rule, members.select("key", "sig", "holders", "root").join(shape, "sig"))
+
+    sig = F.col("sig")
     roots = None
-    for find in (lambda _: forest_pairs(rule, some), lambda r: forest_pairs(rule, across(r)), lambda r: cross_pairs(rule, across(r))):
-        links = linked(find(roots))
+    for find in (None, lambda m: star(F.col("rep"), sig, m.where("root <> rep_root")), rest):
+        members = across(roots) if find else None
+        links = linked(find(members.read()) if find else star(F.col("lo"), sig, held.read()))
         found = buckets.components(links.read().toDF("a", "b") if roots is None else roots.read().toDF("a", "b").union(links.read()))
-        for t in (links, roots):
+        for t in (links, roots, members):
             if t is not None:
                 t.drop()
         roots = found
-    for t in (held, texts):
+    for t in (held, sets):
         t.drop()
 
     group = roots.read().toDF("sig", "root")
     group = group.union(group.select(F.col("root").alias("sig"), "root")).distinct()
     least = group.join(first, "sig").groupBy("root").agg(F.min("class_id").alias("component_id"))
-    found = store.Table(group.join(least, "root").select("sig", "component_id"), "ngram-components")
+    known = first.join(group.join(least, "root").select("sig", "component_id"), "sig", "left")
+    known = store.Table(known.select("sig", "class_id", F.coalesce("component_id", "class_id").alias("component_id")), "ngram-components")
+    roots.drop()
+    out = buckets.join_spread(light.read(), known.read(), "sig")
+    out = store.Table(out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id")), "ngram-classes")
+    for t in (light, known):
+        t.drop()
     store.release(spark)
-    out = light.read().join(first, "sig", "left").join(found.read(), "sig", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component_id", "class_id", "doc_id").alias("component_id"))
+    return out.read()
 
 
 def _repeats(docs: DataFrame) -> bool:
