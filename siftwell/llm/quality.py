@@ -99,7 +99,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000) -> Model:
             x = statistics(W.utf8(part.column(1)))
             yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int32()), pa.array(x.tolist(), pa.list_(pa.float64()))], names=["label", "x"])
 
-    got = sample(docs, labels, "quality", ~held_out(folds=FOLDS, fold=FOLD), sample_rows).mapInArrow(run, "label int, x array<double>").orderBy("label", "x").collect()
+    got = sample(docs, labels, "quality", ~held_out(folds=FOLDS, fold=FOLD), sample_rows).mapInArrow(run, "label int, x array<double>").collect()
+    got.sort(key=lambda r: (r[0], r[1]))
     return train(np.array([r[1] for r in got]).reshape(-1, N), np.array([r[0] for r in got], np.int64))
 
 

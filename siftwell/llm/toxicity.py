@@ -1,11 +1,12 @@
 """Toxicity by weak supervision.
 
 Voters, lexicons and patterns, vote toxic (+1), clean (-1) or abstain (0); a lexicon without a hit abstains, and one voter votes
-clean where no lexicon hits. An abstention is no evidence. Besides a small seed lexicon there are lexicons mined
-from labelled training rows: words and word beginnings far likelier in toxic documents, dealt into groups that each make a voter.
-A generative model estimates by expectation-maximisation each voter's accuracy (how it votes given the hidden class) and, from
-what the class leaves unexplained, the voters' correlations; correlated voters share their weight. Its posteriors are the labels
-on which a linear classifier over hashed words and word beginnings is trained; that classifier scores every text.
+clean where no lexicon hits. Besides a small seed lexicon there are lexicons mined from labelled training rows: words and word
+beginnings a hundred times likelier in toxic documents, in groups of like strength that each make a voter. A generative model
+estimates by expectation-maximisation, without labels but for weak prior counts, how voters vote given the hidden class; voters
+whose votes the class leaves correlated form cliques with a joint distribution, so dependence is part of the likelihood. Its
+posteriors are the labels on which a linear classifier over hashed words and word beginnings is trained; that classifier scores
+every text.
 
 Labels are read only for rows outside the held-out fold, from at most `sample_rows` of them (hashed doc_id order), and their texts
 are brought to the driver as features of at most `sample_rows` documents. Null and empty texts get the score of a text without
@@ -26,7 +27,8 @@ from siftwell.llm import words as W
 from siftwell.llm.decontaminate import FOLD
 
 SEEDS = [s.encode() for s in "idiot moron stupid loser scum trash pathetic worthless disgusting clown".split()]
-BITS = 20
+#: Bits of a hashed feature: enough that long texts don't meet a lexicon by chance.
+BITS = 32
 FOLDS = 5
 PATTERNS = 4
 
@@ -62,40 +64,94 @@ def seed_ids() -> np.ndarray:
 
 @dataclass
 class LabelModel:
-    """Class prior, each voter's vote distribution by class, and its weight after correlations."""
+    """Class prior, and for each clique of dependent voters how its joint votes are distributed by class.
+
+    A clique's joint votes are one number in base 3. Voters of a clique may agree or contradict each other in any way, so that what
+    they share is counted once; between cliques votes are independent given the class."""
 
     prior: float
-    votes: np.ndarray  # class, voter, vote + 1
-    weights: np.ndarray
-    correlations: np.ndarray
+    cliques: list[list[int]]
+    tables: list[np.ndarray]  # class, joint vote
+    correlations: np.ndarray  # what the class leaves unexplained, voter by voter
+
+    @staticmethod
+    def joint(votes: np.ndarray, clique: list[int]) -> np.ndarray:
+        return sum((votes[:, j] + 1) * 3**k for k, j in enumerate(clique))
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
-        j = np.arange(votes.shape[1])
-        odds = (np.log(self.votes[1, j, votes + 1]) - np.log(self.votes[0, j, votes + 1])) * (votes != 0)
-        z = odds @ self.weights + np.log(self.prior / (1 - self.prior))
+        """Probability of class 1. A clique all of whose voters abstain is no evidence: lexicons of other languages are silent."""
+        z = np.full(len(votes), np.log(self.prior / (1 - self.prior)))
+        for clique, table in zip(self.cliques, self.tables, strict=True):
+            z += (np.log(table[1]) - np.log(table[0]))[self.joint(votes, clique)] * (votes[:, clique] != 0).any(1)
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
-
-def fit_label_model(votes: np.ndarray, y: np.ndarray, rounds: int = 30) -> LabelModel:
-    """Expectation-maximisation from the training labels' own vote counts, which stay in as prior counts and fix the class share."""
+    def accuracies(self) -> np.ndarray:
+        """For each voter the share of its votes, not counting abstentions, that name the class they are cast for; null: left out."""
+        out = np.full(len(self.correlations), np.nan)
+        for clique, table in zip(self.cliques, self.tables, strict=True):
+            for k, j in enumerate(clique):
+                vote = np.arange(table.shape[1]) // 3**k % 3 - 1
+                right = self.prior * table[1][vote > 0].sum() + (1 - self.prior) * table[0][vote < 0].sum()
+                cast = self.prior * table[1][vote != 0].sum() + (1 - self.prior) * table[0][vote != 0].sum()
+                out[j] = right / cast
+        return out
+
+
+def find_cliques(correlations: np.ndarray, least: float, most: int = 3) -> list[list[int]]:
+    """Voters joined by their strongest residual correlations, positive or negative, in cliques of at most `most`."""
+    m = len(correlations)
+    own = {j: [j] for j in range(m)}
+    pairs = sorted(((-abs(correlations[i, j]), i, j) for i in range(m) for j in range(i) if abs(correlations[i, j]) >= least))
+    for _, i, j in pairs:
+        a, b = own[i], own[j]
+        if a is not b and len(a) + len(b) <= most:
+            a += b
+            for x in b:
+                own[x] = a
+    return [sorted(c) for j, c in own.items() if j == min(c)]
+
+
+def fit_label_model(votes: np.ndarray, y: np.ndarray, rounds: int = 40, prior_rows: float = 200.0, least: float = 0.15) -> LabelModel:
+    """Expectation-maximisation over all rows without their labels.
+
+    The labels give the class share, and prior counts worth `prior_rows` rows that keep the classes' meaning; what the voters are
+    worth, and which depend on each other, comes from how they vote together."""
     n, m = votes.shape
     prior = float(np.clip(y.mean(), 0.02, 0.5))
-    model = LabelModel(prior, np.empty((2, m, 3)), np.ones(m), np.eye(m))
-    anchor = np.stack([np.stack([(votes[y == c] == v).sum(0) for v in (-1, 0, 1)], 1) for c in (0, 1)]).astype(float)
-    post = 1 / (1 + np.exp(-((votes > 0).sum(1) - 0.5) * 4.0)) if m else np.full(n, prior)
+    weight = min(1.0, prior_rows / max(n, 1))
+    # voters that the labelled rows don't find better than chance (twice as often right as wrong) stay out
+    rate = [[((votes[y == c] == v).sum(0) + 0.5) / ((y == c).sum() + 1) for v in (-1, 1)] for c in (0, 1)]
+    useful = (rate[1][1] >= 2 * rate[0][1]) | (rate[0][0] >= 2 * rate[1][0])
+    model = LabelModel(prior, [[j] for j in range(m) if useful[j]], [], np.eye(m))
+
+    def tables(post: np.ndarray | None) -> list[np.ndarray]:
+        out = []
+        for clique in model.cliques:
+            joint, size = model.joint(votes, clique), 3 ** len(clique)
+            table = np.full((2, size), 0.5 / size * 3)
+            for c in (0, 1):
+                table[c] += weight * np.bincount(joint[y == c], minlength=size)
+                if post is not None:
+                    table[c] += np.bincount(joint, post if c else 1 - post, minlength=size)
+            out.append(table / table.sum(1, keepdims=True))
+        return out
+
+    model.tables = tables(None)
+    post = model.posterior(votes)
     for k in range(rounds):
-        for c, p in ((0, 1 - post), (1, post)):
-            for v in (-1, 0, 1):
-                model.votes[c, :, v + 1] = ((votes == v) * p[:, None]).sum(0) + anchor[c, :, v + 1] + 0.5
-            model.votes[c] /= model.votes[c].sum(1, keepdims=True)
-        if k % 5 == 0 or k == rounds - 1:  # what classes leave unexplained ties voters together
+        if k % 10 == 0:
             x = votes.astype(float)
             mean = np.stack([(1 - post) @ x / max((1 - post).sum(), 1e-9), post @ x / max(post.sum(), 1e-9)])
             r = x - (1 - post)[:, None] * mean[0] - post[:, None] * mean[1]
             sd = np.sqrt((r * r).mean(0)) + 1e-3
             model.correlations = np.clip(r.T @ r / max(n, 1) / np.outer(sd, sd), -1, 1)
-            model.weights = 1 / (1 + np.clip(model.correlations - np.eye(m), 0.1, 1).sum(1) - 0.1 * (m - 1))
-        post = model.posterior(votes)
+            model.cliques = find_cliques(np.where(np.outer(useful, useful), model.correlations, 0), least)
+            model.cliques = [c for c in model.cliques if useful[c[0]]]
+        model.tables = tables(post)
+        new = model.posterior(votes)
+        if k % 10 and np.abs(new - post).max(initial=0) < 1e-6:
+            break
+        post = new
     return model
 
 
@@ -122,12 +178,13 @@ def held_out(doc_id: str = "doc_id", folds: int = FOLDS, fold: int = 0) -> F.Col
 
 
 def sample(docs: DataFrame, labels: DataFrame, column: str, train: F.Column, rows: int) -> DataFrame:
-    """(label, text) of at most about `rows` labelled training documents, chosen by hashed id; the labels broadcast are bounded by it."""
+    """(label, text) of at most `rows` labelled training documents, chosen by hashed id; the labels broadcast are bounded by it."""
     known = labels.where(train & F.col("doc_id").isNotNull() & F.col(column).isin(0, 1)).groupBy("doc_id").agg(F.max(column).alias("label"))
     n = known.count()
     if n > rows:
-        known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * rows / n))
-    return docs.select("doc_id", "text").join(F.broadcast(known.limit(2 * rows)), "doc_id").select("label", "text")
+        # the rows with the smallest hashes: exactly `rows` of them, whatever the hashes
+        known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    return docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("label", "text")
 
 
 def votes_of(docs: list[np.ndarray], marks: list[list[int]], lexicons: list[np.ndarray]) -> np.ndarray:
@@ -143,18 +200,20 @@ def votes_of(docs: list[np.ndarray], marks: list[list[int]], lexicons: list[np.n
 
 
 def mine(docs: list[np.ndarray], y: np.ndarray, groups: int, least: int = 3) -> list[np.ndarray]:
-    """Features far likelier in toxic documents, strongest first, dealt into groups."""
+    """Features a hundred times likelier in toxic documents, strongest first, in groups."""
     if not len(y) or y.min() == y.max():
         return []
-    a = np.bincount(np.concatenate([d for d, t in zip(docs, y, strict=True) if t]), minlength=1 << BITS)
-    b = np.bincount(np.concatenate([d for d, t in zip(docs, y, strict=True) if not t]), minlength=1 << BITS)
+    names, place = np.unique(np.concatenate(docs), return_inverse=True)
+    toxic = np.repeat(y, [len(d) for d in docs]) == 1
+    a, b = (np.bincount(place[t], minlength=len(names)) for t in (toxic, ~toxic))
     odds = np.log((a + 0.5) / (y.sum() + 1)) - np.log((b + 0.5) / ((1 - y).sum() + 1))
     n, share = a + b, y.mean()
     with np.errstate(divide="ignore", invalid="ignore"):
         gain = 2 * (np.nan_to_num(a * np.log(a / n / share)) + np.nan_to_num(b * np.log(b / n / (1 - share))))
-    found = np.flatnonzero((a >= least) & (odds > 3.5) & (gain > 2 * np.log(max((n >= least).sum(), 2)) + 4))  # beyond what chance gives among so many
-    found = found[np.argsort(-odds[found] * np.sqrt(a[found]), kind="stable")]
-    return [np.sort(found[k::groups]) for k in range(min(groups, len(found)))]
+    found = np.flatnonzero((a >= least) & (odds > np.log(100)) & (gain > 2 * np.log(max((n >= least).sum(), 2)) + 4))  # beyond what chance gives among so many
+    found = names[found[np.argsort(-odds[found] * np.sqrt(a[found]), kind="stable")]]
+    # voters of like strength, so that the label model can tell the strong from the weak
+    return [np.sort(part) for part in np.array_split(found, min(groups, len(found)))] if len(found) else []
 
 
 def train(rows: list[tuple[np.ndarray, list[int]]], y: np.ndarray, groups: int = 12, epochs: int = 150) -> Model:
@@ -169,11 +228,12 @@ def train(rows: list[tuple[np.ndarray, list[int]]], y: np.ndarray, groups: int =
     # the linear classifier: features that part the posteriors beyond chance get a weight
     flat = np.concatenate(docs) if docs else np.empty(0, np.int64)
     row = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
-    a, n = np.bincount(flat, target[row], 1 << BITS), np.bincount(flat, minlength=1 << BITS)
+    names, place = np.unique(flat, return_inverse=True)
+    a, n = np.bincount(place, target[row], len(names)), np.bincount(place, minlength=len(names))
     share = float(np.clip(target.mean(), 1e-3, 1 - 1e-3))
     gain = 2 * (a * np.log((a + 1e-9) / np.maximum(n, 1) / share + 1e-12) + (n - a) * np.log((n - a + 1e-9) / np.maximum(n, 1) / (1 - share) + 1e-12))
     use = np.flatnonzero((n >= 3) & (gain > 2 * np.log(max((n >= 3).sum(), 2))))
-    ids = np.union1d(np.concatenate(lexicons), use[np.argsort(-gain[use], kind="stable")[:4096]])
+    ids = np.union1d(np.concatenate(lexicons), names[use])
     at = np.searchsorted(ids, flat)
     ok = at < len(ids)
     ok[ok] = ids[at[ok]] == flat[ok]
@@ -196,11 +256,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 8000) -> Model:
             raw = W.utf8(part.column(1))
             feats = []
             for _, _, batch in W.batches([t.translate(FOLD) for t in raw], W.ALNUM):
-                feats += [f.astype(np.int32).tobytes() for f in features(batch)]
+                feats += [f.astype(np.uint32).tobytes() for f in features(batch)]
             yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int32()), pa.array(feats, pa.binary()), pa.array([patterns(t) for t in raw], pa.list_(pa.int32()))], names=["label", "features", "marks"])
 
-    got = sample(docs, labels, "toxic", ~held_out(), sample_rows).mapInArrow(run, "label int, features binary, marks array<int>").orderBy("label", "features").collect()
-    return train([(np.frombuffer(r[1], np.int32).astype(np.int64), list(r[2])) for r in got], np.array([r[0] for r in got], np.int64))
+    got = sample(docs, labels, "toxic", ~held_out(), sample_rows).mapInArrow(run, "label int, features binary, marks array<int>").collect()
+    got.sort(key=lambda r: (r[0], bytes(r[1])))
+    return train([(np.frombuffer(r[1], np.uint32).astype(np.int64), list(r[2])) for r in got], np.array([r[0] for r in got], np.int64))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
