@@ -21,7 +21,7 @@ class WaveletMatrix:
             self.zeros.append(int(len(bits) - bits.sum()))
             start = self.step(len(self.words) - 1, symbols >> level & 1, start)
             values = np.concatenate([values[bits == 0], values[bits == 1]])
-        self.start = start
+        self.start = start.astype(np.min_scalar_type(max(self.n, 1)))
 
     def step(self, k: int, bit: np.ndarray, at: np.ndarray) -> np.ndarray:
         word = at >> 6
@@ -36,17 +36,21 @@ class WaveletMatrix:
 
 
 class FMIndex:
-    """Index of sequences of symbols above 0. Suffixes are ordered by their first `depth` symbols, enough for patterns up to that length."""
+    """Index of sequences of symbols above 0. Suffixes are ordered by their first `depth` symbols, enough for patterns up to that length.
+
+    What stays is the transform in the wavelet matrix, a few bits a symbol, and in the smallest whole numbers that hold them the
+    counts by symbol and the sequence of each suffix; the text itself is not kept."""
 
     def __init__(self, sequences: list[np.ndarray], limit: int, depth: int):
         lengths = np.array([len(s) + 1 for s in sequences])
-        self.text = np.zeros(int(lengths.sum()), np.int64)
-        self.first = np.cumsum(lengths) - lengths
+        text = np.zeros(int(lengths.sum()), np.int64)
+        self.n = len(text)
+        first = np.cumsum(lengths) - lengths
         owner = np.repeat(np.arange(len(sequences)), lengths)
-        inside = np.ones(len(self.text), bool)
-        inside[self.first + lengths - 1] = False
-        self.text[inside] = np.concatenate(sequences) if len(sequences) else []
-        order, span = self.text.copy(), 1
+        inside = np.ones(len(text), bool)
+        inside[first + lengths - 1] = False
+        text[inside] = np.concatenate(sequences) if len(sequences) else []
+        order, span = text.copy(), 1
         suffixes = np.argsort(order, kind="stable")
         while span < depth:
             ahead = np.zeros_like(order)
@@ -57,19 +61,19 @@ class FMIndex:
             order = np.empty_like(key)
             order[suffixes] = np.cumsum(np.r_[0, ranked[1:] != ranked[:-1]])
             span *= 2
-        self.owner = owner[suffixes]
-        bwt = self.text[suffixes - 1]
-        self.before = np.r_[0, np.cumsum(np.bincount(self.text, minlength=limit))][:limit]
+        self.owner = owner[suffixes].astype(np.min_scalar_type(len(sequences)))
+        bwt = text[suffixes - 1]
+        self.before = np.r_[0, np.cumsum(np.bincount(text, minlength=limit))][:limit].astype(np.min_scalar_type(len(text)))
         self.wavelet = WaveletMatrix(bwt, limit)
 
     def backward(self, symbols: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Intervals of the patterns that a symbol put in front makes."""
-        both = self.before[np.r_[symbols, symbols]] + self.wavelet.rank(np.r_[symbols, symbols], np.r_[low, high])
+        both = self.before[np.r_[symbols, symbols]].astype(np.int64) + self.wavelet.rank(np.r_[symbols, symbols], np.r_[low, high])
         return both[: len(symbols)], both[len(symbols) :]
 
     def matching_statistics(self, query: np.ndarray, ends: np.ndarray, cap: int, least: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each end place (exclusive) the longest match that ends there, up to cap, with at least `least` occurrences: its length and interval."""
-        length, low, high = np.zeros(len(ends), np.int64), np.zeros(len(ends), np.int64), np.full(len(ends), len(self.text), np.int64)
+        length, low, high = np.zeros(len(ends), np.int64), np.zeros(len(ends), np.int64), np.full(len(ends), self.n, np.int64)
         live = np.arange(len(ends))
         for k in range(cap):
             at = ends[live] - 1 - k

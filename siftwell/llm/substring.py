@@ -87,30 +87,33 @@ def segments(candidates: DataFrame, width: int, gram: int) -> DataFrame:
     return candidates.select("sig", "doc", "keys", "hot", "text").mapInArrow(run, schema)
 
 
-def search_shard(rows: list[tuple[int, int, int, np.ndarray]], width: int) -> list[tuple[int, list[int]]]:
-    """rows: (segment, smallest doc, largest doc, words). For segments with a window found in a document smaller than their largest: the smallest document of each window."""
+def search_shard(rows: list[tuple[int, int, int, np.ndarray]], width: int, stream: int = 1 << 16) -> Iterator[tuple[int, list[int]]]:
+    """rows: (segment, smallest doc, largest doc, words). For segments with a window found in a document smaller than their largest: the smallest document of each window.
+
+    The shard's index is built first; the documents' segments are then streamed against it, about `stream` words at a time."""
     flat = np.concatenate([r[3] for r in rows])
     names, ids = np.unique(flat, return_inverse=True)
     lengths = np.array([len(r[3]) for r in rows])
     start = np.cumsum(lengths) - lengths
     ids = ids.astype(np.int64) + 1
     index = FMIndex([ids[s : s + n] for s, n in zip(start, lengths, strict=True)], len(names) + 1, 16 if width <= 16 else 1 << (width - 1).bit_length())
-    owner = np.repeat(np.arange(len(rows)), lengths - width + 1)
-    nth = np.arange(len(owner)) - np.repeat(np.cumsum(lengths - width + 1) - (lengths - width + 1), lengths - width + 1)
-    ends = index.first[owner] + nth + width
-    length, low, high = index.matching_statistics(index.text, ends, width, least=2)
-    smallest = np.array([r[1] for r in rows], np.int64)
-    result = smallest[owner]
-    full = np.flatnonzero(length == width)
-    if len(full):
-        doc = np.append(smallest[index.owner], np.iinfo(np.int64).max)
-        spans, back = np.unique(np.stack([low[full], high[full]], 1), axis=0, return_inverse=True)
-        result[full] = np.minimum.reduceat(doc, spans.ravel())[::2][back.ravel()]
-    out, bounds = [], np.r_[0, np.cumsum(lengths - width + 1)]
-    largest = np.array([r[2] for r in rows], np.int64)
-    for k in np.flatnonzero(np.minimum.reduceat(result, bounds[:-1]) < largest):
-        out.append((rows[k][0], result[bounds[k] : bounds[k + 1]].tolist()))
-    return out
+    smallest, largest = (np.array([r[k] for r in rows], np.int64) for k in (1, 2))
+    doc = np.append(smallest[index.owner], np.iinfo(np.int64).max)
+    i = 0
+    while i < len(rows):
+        j = max(i + 1, int(np.searchsorted(start, start[i] + stream)))
+        query, here = ids[start[i] : start[j - 1] + lengths[j - 1]], lengths[i:j] - width + 1
+        bounds = np.r_[0, np.cumsum(here)]
+        ends = np.repeat(start[i:j] - start[i], here) + np.arange(bounds[-1]) - np.repeat(bounds[:-1], here) + width
+        length, low, high = index.matching_statistics(query, ends, width, least=2)
+        result = np.repeat(smallest[i:j], here)
+        full = np.flatnonzero(length == width)
+        if len(full):
+            spans, back = np.unique(np.stack([low[full], high[full]], 1), axis=0, return_inverse=True)
+            result[full] = np.minimum.reduceat(doc, spans.ravel())[::2][back.ravel()]
+        for k in np.flatnonzero(np.minimum.reduceat(result, bounds[:-1]) < largest[i:j]):
+            yield rows[i + k][0], result[bounds[k] : bounds[k + 1]].tolist()
+        i = j
 
 
 def _search(dealt: DataFrame, width: int) -> DataFrame:
@@ -118,7 +121,7 @@ def _search(dealt: DataFrame, width: int) -> DataFrame:
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found(rows: dict) -> pa.RecordBatch:
-            got = search_shard(list(rows.values()), width)
+            got = list(search_shard(list(rows.values()), width))
             return pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.list_(pa.int64()))], names=["seg", "docs"])
 
         shard, rows = None, {}
@@ -164,7 +167,7 @@ def covered(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
     hits = store.Table(_search(dealt, width), "fm-hits")
     store.release(spark)
 
-    refs = segs.read().select("seg", "doc", "at").join(hits.read(), "seg")
+    refs = buckets.join_spread(segs.read().select("seg", "doc", "at"), hits.read(), "seg").where("docs is not null")
     hit = F.filter(F.transform("docs", lambda d, i: F.when(d < F.col("doc"), F.col("at") + i)), lambda x: x.isNotNull())
     runs = refs.select("doc", hit.alias("hit")).where(F.size("hit") > 0)
     runs = runs.groupBy("doc").agg(F.sort_array(F.flatten(F.collect_list("hit"))).alias("runs"))
@@ -172,8 +175,12 @@ def covered(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
     for t in (segs, hits):
         t.drop()
     store.release(spark)
-    out = light.read().join(first, "sig", "left").join(runs.read().withColumnRenamed("doc", "doc_id"), "doc_id", "left")
-    return out.select("doc_id", "sig", "n", (F.col("doc_id") > F.col("first_id")).alias("copy"), F.when(F.col("doc_id") == F.col("first_id"), F.col("runs")).alias("runs"))
+    out = buckets.join_spread(light.read(), first, "sig").join(runs.read().withColumnRenamed("doc", "doc_id"), "doc_id", "left")
+    out = store.Table(out.select("doc_id", "sig", "n", (F.col("doc_id") > F.col("first_id")).alias("copy"), F.when(F.col("doc_id") == F.col("first_id"), F.col("runs")).alias("runs")), "fm-covered")
+    for t in (light, runs):
+        t.drop()
+    store.release(spark)
+    return out.read()
 
 
 def _mark(n: int, copy: bool, runs: list[int] | None, width: int) -> np.ndarray:
