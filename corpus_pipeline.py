@@ -40,7 +40,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The last stage's rows. A stage's table goes once the next one is written."""
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = store.Table(stage(spark, docs, sf_dir), f"pipeline-{name}").read()
+        table = store.Table(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if last is not None:
+            last.drop()
+        docs, last = table.read(), table
     return docs
