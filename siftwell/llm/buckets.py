@@ -65,16 +65,15 @@ def signed(x: int) -> int:
 
 
 def shared_keys(nodes: DataFrame) -> store.Table:
-    """(key, sig, lo, holders) for every key that at least two different sigs hold, lo the smallest of them. Counting first drops
-    the keys of one text only."""
+    """(key, sig, holders) for every key that at least two different sigs hold. Counting first drops the keys of one text only."""
     spark = nodes.sparkSession
     entries = nodes.where(F.size("keys") > 0).select("sig", F.explode("keys").alias("key"))
     several = entries.groupBy("key").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi"), F.count("*").alias("holders")).where("lo <> hi")
-    several = store.Table(several.select("key", "lo", "holders"), "shared-keys")
+    several = store.Table(several.select("key", "holders"), "shared-keys")
     store.release(spark)
     known = several.read()
-    met = join_spread(entries, known, "key", counts=known.select("key", F.col("holders").alias("n"))).where("lo is not null")
-    held = store.Table(met.select("key", "sig", "lo", "holders").distinct(), "held-keys")
+    met = join_spread(entries, known, "key", counts=known.select("key", F.col("holders").alias("n"))).where("holders is not null")
+    held = store.Table(met.select("key", "sig", "holders").distinct(), "held-keys")
     several.drop()
     store.release(spark)
     return held

@@ -3,8 +3,10 @@
 Every distinct set of n-grams is a node; copies share one. The global order of n-grams (by 64-bit hash) is cut into fragments, 2^L of
 them, L by size, nested so that sets cut differently still meet. A fragment's digest is the exclusive or of its hashes.
 
-Candidates. Two linked sets differ in fewer n-grams than there are fragments at the pair's level, so at least one fragment overlaps
-wholly: sets meet by (fragment, digest). A bucket first gives a star of pairs around its smallest set, in a second round a star around
+Candidates. Two linked sets differ in at most d n-grams, fewer than there are fragments at the pair's level, so all but d of their
+fragments overlap wholly: sets meet by (fragment, digest). In the order of frequency, rarest first, they must meet within the first
+d + 1 digests of each; the more frequent digests of a set are dropped, and with them every set that has more than d digests of its
+own. A bucket first gives a star of pairs around its smallest set, in a second round a star around
 another; verified links are contracted after each round. Only buckets whose sets then still lie in several components are
 searched for the rest, all of them, dealt into pairs of blocks, with a parity bitmap as a lower bound of the difference. So no
 group is expanded into all its pairs, and no link between components is lost.
@@ -82,6 +84,7 @@ def describe(rule: Rule, hashes: np.ndarray) -> tuple[int, int | None, np.ndarra
         count = np.diff(bounds)
         place = np.arange(1 << level, dtype=W.U) | W.U(level) << W.U(40)
         keys = W.mix((total[bounds[1:]] - total[bounds[:-1]]) + count.astype(W.U) * _B + W.mix(place * _A))
+        keys = (keys & ~W.U(127)) | W.U(level << 1) | (count == 0).astype(W.U)  # the last bits name the level and empty fragments
         empty = int((count == 0).sum())
         spare = (1 << level) - 1 - min((1 << level) - 1, rule.difference(n + high))
         out.append(keys if empty > spare else keys[count > 0])  # empty fragments count only if they may be all that agrees
@@ -169,6 +172,30 @@ def cut(rule: Rule, g: np.ndarray) -> tuple[int, np.ndarray, list[np.ndarray]]:
     return level, folded[bounds[1:]] ^ folded[bounds[:-1]], [g[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
+def selective(rule: Rule, nodes: DataFrame, held: DataFrame) -> store.Table:
+    """(key, sig, lo, holders): of the shared keys of a set those among which a partner must be met, where several sets still are."""
+    level, empty = F.shiftright("key", 1).bitwiseAND(F.lit(63)).cast("int"), F.col("key").bitwiseAND(F.lit(1)) == 1
+    most = F.least(F.expr(f"(n + n * {rule.den} div {rule.num}) * {rule.den - rule.num} div {rule.den + rule.num}"), F.expr("shiftleft(1L, level) - 1"))
+    full = F.transform(F.filter("keys", lambda k: k.bitwiseAND(F.lit(1)) == 0), lambda k: F.shiftright(k, 1).bitwiseAND(F.lit(63)).cast("int"))
+    levels = F.transform(F.array_distinct(F.transform("keys", lambda k: F.shiftright(k, 1).bitwiseAND(F.lit(63)).cast("int"))), lambda x: F.struct(x.alias("level"), F.size(F.filter("full", lambda y: y == x)).alias("emitted")))
+    about = nodes.where(F.size("keys") > 0).select("sig", "n", "keys", full.alias("full")).select("sig", "n", F.inline(levels)).groupBy("sig", "n", "level").agg(F.max("emitted").alias("emitted"))
+    about = about.select("sig", "level", "emitted", most.alias("most"))
+    lists = held.select("sig", level.alias("level"), F.struct("holders", "key").alias("x"), empty.alias("empty")).groupBy("sig", "level").agg(
+        F.sort_array(F.collect_list(F.when(~F.col("empty"), F.col("x")))).alias("full"), F.collect_list(F.when(F.col("empty"), F.col("x"))).alias("none"))
+    room = F.col("most") + 1 - (F.col("emitted") - F.size("full"))
+    kept = F.concat(F.slice("full", 1, F.greatest(room, F.lit(0)).cast("int")), F.when(F.col("emitted") <= F.col("most"), F.col("none")).otherwise(F.slice("none", 1, 0)))
+    kept = lists.join(about, ["sig", "level"]).select("sig", F.explode(kept).alias("x")).select("x.key", "sig")
+    few = store.Table(kept, "ngram-prefixes")
+    several = few.read().groupBy("key").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi"), F.count("*").alias("holders")).where("lo <> hi").drop("hi")
+    several = store.Table(several, "ngram-several")
+    known = several.read()
+    met = buckets.join_spread(few.read(), known, "key", counts=known.select("key", F.col("holders").alias("n"))).where("lo is not null")
+    out = store.Table(met.select("key", "sig", "lo", "holders"), "ngram-held")
+    for t in (few, several):
+        t.drop()
+    return out
+
+
 def verify(rule: Rule, pairs: DataFrame, sets: DataFrame) -> store.Table:
     """The pairs (a, b) that link. sets: (sig, n, level, digests, fragments)."""
     shape = sets.select("sig", "n", "level", "digests")
@@ -231,7 +258,9 @@ def classes(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:  # noqa: B008
 def _classes(docs: DataFrame, rule: Rule) -> DataFrame:
     spark = docs.sparkSession
     nodes = store.Table(buckets.keyed_nodes(docs, lambda h: describe(rule, h), W.NON_SPACE, FOLD), "ngram-nodes")
-    held = buckets.shared_keys(nodes.read())
+    shared = buckets.shared_keys(nodes.read())
+    held = selective(rule, nodes.read(), shared.read())
+    shared.drop()
     light = store.Table(nodes.read().select("doc_id", "n", "sig"), "ngram-docs")
     nodes.drop()
     first = light.read().where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("class_id"))
