@@ -11,8 +11,8 @@ another; verified links are contracted after each round. Only buckets whose sets
 searched for the rest, all of them, dealt into pairs of blocks, with a parity bitmap as a lower bound of the difference. So no
 group is expanded into all its pairs, and no link between components is lost.
 
-Verification. Fragments with equal digests overlap wholly; more of them unequal than the rule lets n-grams differ refutes a pair.
-For each other fragment a row (pair, fragment) meets the n-grams that either set has there; partial overlaps are counted fragment
+Verification. A pair whose parity bitmaps differ in more bits than the rule lets n-grams differ is refuted. Of the others, in a
+coarser cut of some dozens of n-grams a fragment, fragments with equal digests overlap wholly. For each other fragment a row (pair, fragment) meets the n-grams that either set has there; partial overlaps are counted fragment
 by fragment and then summed per pair. Frequent keys, sets and copies are joined without gathering in a task.
 
 Words are split at ASCII white space after lower-casing A-Z. With fewer than n words the whole sequence is one n-gram; null,
@@ -91,19 +91,19 @@ def describe(rule: Rule, hashes: np.ndarray) -> tuple[int, int | None, np.ndarra
     return n, sig, np.concatenate(out) if out else np.empty(0, W.U)
 
 
-def bitmap(g: np.ndarray) -> bytes:
+def bitmap(g: np.ndarray) -> np.ndarray:
     """Parity of the n-grams falling on each of 1024 to 32768 bits, over eight bits an n-gram up to there: few differences cancel."""
     bits = min(32768, max(1024, 8 << len(g).bit_length()))
     odd = np.bincount((g & W.U(bits - 1)).astype(np.int64), minlength=bits) & 1
-    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
-def _fold(maps: list[bytes]) -> list[int]:
+def _fold(maps: list[list[int]]) -> list[int]:
     """Bitmaps as numbers, all folded to the shortest length."""
-    least = min(map(len, maps)) * 8
+    least = min(map(len, maps)) * 64
     out = []
     for m in maps:
-        x, bits = int.from_bytes(m, "little"), len(m) * 8
+        x, bits = int.from_bytes(np.array(m, np.int64).tobytes(), "little"), len(m) * 64
         while bits > least:
             bits >>= 1
             x = (x >> bits) ^ (x & ((1 << bits) - 1))
@@ -159,14 +159,14 @@ def cross_pairs(rule: Rule, members: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def cut_level(rule: Rule, n: int) -> int:
-    """Fragments in which a set is stored: about half as many as a partner may differ in."""
-    return max(rule.level(2 * n) - 1, 0)
+def cut_level(n: int) -> int:
+    """A set is stored in fragments of some 32 to 64 n-grams."""
+    return (n // 64).bit_length()
 
 
-def cut(rule: Rule, g: np.ndarray) -> tuple[int, np.ndarray, list[np.ndarray]]:
+def cut(g: np.ndarray) -> tuple[int, np.ndarray, list[np.ndarray]]:
     """Level, digests and n-grams of the fragments of a set."""
-    level = cut_level(rule, len(g))
+    level = cut_level(len(g))
     bounds = np.searchsorted(g >> W.U(64 - level), np.arange((1 << level) + 1, dtype=W.U)) if level else np.array([0, len(g)])
     folded = np.r_[W.U(0), np.bitwise_xor.accumulate(W.mix(g ^ _A))]
     return level, folded[bounds[1:]] ^ folded[bounds[:-1]], [g[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
@@ -197,12 +197,18 @@ def selective(rule: Rule, nodes: DataFrame, held: DataFrame) -> store.Table:
 
 
 def verify(rule: Rule, pairs: DataFrame, sets: DataFrame) -> store.Table:
-    """The pairs (a, b) that link. sets: (sig, n, level, digests, fragments)."""
-    shape = sets.select("sig", "n", "level", "digests")
+    """The pairs (a, b) that link. sets: (sig, n, level, digests, fragments, bitmap)."""
     sides = pairs
     for x in ("a", "b"):
-        sides = buckets.join_spread(sides, shape.select(F.col("sig").alias(x), F.col("n").alias(f"n_{x}"), F.col("level").alias(f"level_{x}"), F.col("digests").alias(f"digests_{x}")), x, counts=pairs.groupBy(x).agg(F.count("*").alias("n")))
-    level = F.least("level_a", "level_b")
+        shape = sets.select(F.col("sig").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "level", "digests", "bitmap")])
+        sides = buckets.join_spread(sides, shape, x, counts=pairs.groupBy(x).agg(F.count("*").alias("n")))
+    level, words = F.least("level_a", "level_b"), F.least(F.size("bitmap_a"), F.size("bitmap_b"))
+
+    def parity(x: str) -> F.Column:
+        """The bitmap folded to the shorter one's length."""
+        return F.transform(F.sequence(F.lit(0), words - 1), lambda i: F.aggregate(F.sequence(i, F.size(f"bitmap_{x}") - 1, words), F.lit(0).cast("long"), lambda u, k: u.bitwiseXOR(F.get(f"bitmap_{x}", k))))
+
+    differ = F.aggregate(F.zip_with(parity("a"), parity("b"), lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda u, v: u + v)
 
     def folded(x: str) -> F.Column:
         step = F.pow(F.lit(2), F.col(f"level_{x}") - level).cast("int")
@@ -211,7 +217,7 @@ def verify(rule: Rule, pairs: DataFrame, sets: DataFrame) -> store.Table:
     unequal = F.filter(F.transform(F.arrays_zip(folded("a").alias("x"), folded("b").alias("y")), lambda d, f: F.when(d["x"] != d["y"], f)), lambda f: f.isNotNull())
     most = F.floor((F.col("n_a") + F.col("n_b")) * (rule.den - rule.num) / (rule.den + rule.num))
     fits = (F.col("n_a") * rule.den >= F.col("n_b") * rule.num) & (F.col("n_b") * rule.den >= F.col("n_a") * rule.num)
-    open_ = store.Table(sides.where(fits).withColumn("unequal", unequal).where(F.size("unequal") <= most).select("a", "b", "n_a", "n_b", "level_a", "level_b", F.explode("unequal").alias("fragment")), "ngram-open")
+    open_ = store.Table(sides.where(fits).where(differ <= most).withColumn("unequal", unequal).where(F.size("unequal") <= most).select("a", "b", "n_a", "n_b", "level_a", "level_b", F.explode("unequal").alias("fragment")), "ngram-open")
 
     def side(x: str) -> DataFrame:
         finer = F.pow(F.lit(2), F.col(f"level_{x}") - level).cast("int")
@@ -276,13 +282,13 @@ def _classes(docs: DataFrame, rule: Rule) -> DataFrame:
                 for k in range(j - i):
                     g = grams(batch.hashes[batch.first[k] : batch.last[k]], rule.n)
                     if len(g) and signature(g) == sigs[i + k]:  # a doc_id may repeat
-                        level, digests, fragments = cut(rule, g)
+                        level, digests, fragments = cut(g)
                         rows.append((sigs[i + k], len(g), level, digests.view(np.int64), [f.view(np.int64) for f in fragments], bitmap(g)))
                 cols = list(zip(*rows, strict=True)) or [()] * 6
-                kinds = (pa.int64(), pa.int64(), pa.int32(), longs, pa.list_(longs), pa.binary())
+                kinds = (pa.int64(), pa.int64(), pa.int32(), longs, pa.list_(longs), longs)
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["sig", "n", "level", "digests", "fragments", "bitmap"])
 
-    sets = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(wanted.hint("shuffle_hash"), "doc_id").select("sig", "text").mapInArrow(bits, "sig long, n long, level int, digests array<long>, fragments array<array<long>>, bitmap binary")
+    sets = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(wanted.hint("shuffle_hash"), "doc_id").select("sig", "text").mapInArrow(bits, "sig long, n long, level int, digests array<long>, fragments array<array<long>>, bitmap array<long>")
     sets = store.Table(sets.dropDuplicates(["sig"]) if _repeats(docs) else sets, "ngram-sets")
     store.release(spark)
 
