@@ -45,7 +45,7 @@ def features(batch: W.Batch) -> list[np.ndarray]:
     text = np.searchsorted(batch.first, word, "right") - 1
     pairs = np.unique(text << BITS | ids_all)
     bounds = np.searchsorted(pairs, np.arange(len(batch.first) + 1) << BITS)
-    return [pairs[a:b] & ((1 << BITS) - 1) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    return [(pairs[a:b] & ((1 << BITS) - 1)).astype(np.uint32) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
 def patterns(text: bytes) -> list[int]:
@@ -59,7 +59,7 @@ def patterns(text: bytes) -> list[int]:
 
 def seed_ids() -> np.ndarray:
     batch = W.Batch(SEEDS, W.ALNUM)
-    return (batch.hashes >> W.U(64 - BITS)).astype(np.int64)
+    return (batch.hashes >> W.U(64 - BITS)).astype(np.uint32)
 
 
 @dataclass
@@ -189,7 +189,7 @@ def sample(docs: DataFrame, labels: DataFrame, column: str, train: F.Column, row
 
 def votes_of(docs: list[np.ndarray], marks: list[list[int]], lexicons: list[np.ndarray]) -> np.ndarray:
     out = np.zeros((len(docs), len(lexicons) + PATTERNS + 1), np.int64)
-    every = np.unique(np.concatenate(lexicons)) if lexicons else np.empty(0, np.int64)
+    every = np.unique(np.concatenate(lexicons)) if lexicons else np.empty(0, np.uint32)
     for i, d in enumerate(docs):
         hit = d[np.isin(d, every, assume_unique=True)]
         for j, lex in enumerate(lexicons):
@@ -199,13 +199,36 @@ def votes_of(docs: list[np.ndarray], marks: list[list[int]], lexicons: list[np.n
     return out
 
 
-def mine(docs: list[np.ndarray], y: np.ndarray, groups: int, least: int = 3) -> list[np.ndarray]:
+@dataclass
+class Compact:
+    """The features of many documents: their names in order, and for each occurrence the place of its name and its document, in 8 bytes."""
+
+    names: np.ndarray
+    place: np.ndarray
+    row: np.ndarray
+
+    @staticmethod
+    def of(docs: list[np.ndarray]) -> Compact:
+        flat = np.concatenate(docs) if docs else np.empty(0, np.uint32)
+        names = np.unique(flat)
+        place = np.empty(len(flat), np.int32)
+        for i in range(0, len(flat), 1 << 20):
+            place[i : i + (1 << 20)] = np.searchsorted(names, flat[i : i + (1 << 20)])
+        return Compact(names, place, np.repeat(np.arange(len(docs), dtype=np.int32), [len(d) for d in docs]))
+
+    def sums(self, weights: np.ndarray) -> np.ndarray:
+        """For each name the sum of its documents' weights."""
+        out = np.zeros(len(self.names))
+        for i in range(0, len(self.row), 1 << 20):
+            out += np.bincount(self.place[i : i + (1 << 20)], weights[self.row[i : i + (1 << 20)]], len(out))
+        return out
+
+
+def mine(docs: Compact, y: np.ndarray, groups: int, least: int = 3) -> list[np.ndarray]:
     """Features a hundred times likelier in toxic documents, strongest first, in groups."""
     if not len(y) or y.min() == y.max():
         return []
-    names, place = np.unique(np.concatenate(docs), return_inverse=True)
-    toxic = np.repeat(y, [len(d) for d in docs]) == 1
-    a, b = (np.bincount(place[t], minlength=len(names)) for t in (toxic, ~toxic))
+    a, b, names = docs.sums(y == 1), docs.sums(y == 0), docs.names
     odds = np.log((a + 0.5) / (y.sum() + 1)) - np.log((b + 0.5) / ((1 - y).sum() + 1))
     n, share = a + b, y.mean()
     with np.errstate(divide="ignore", invalid="ignore"):
@@ -218,26 +241,25 @@ def mine(docs: list[np.ndarray], y: np.ndarray, groups: int, least: int = 3) ->
 
 def train(rows: list[tuple[np.ndarray, list[int]]], y: np.ndarray, groups: int = 12, epochs: int = 150) -> Model:
     docs, marks = [r[0] for r in rows], [r[1] for r in rows]
-    seeds = seed_ids()
-    lexicons = [seeds[k::2] for k in range(2)] + mine(docs, y, groups)
+    seeds, flat = seed_ids(), Compact.of(docs)
+    lexicons = [seeds[k::2] for k in range(2)] + mine(flat, y, groups)
     if not docs:
         return Model(lexicons, None, np.sort(seeds), np.full(len(seeds), 6.0), -3.0)
     votes = votes_of(docs, marks, lexicons)
     model = fit_label_model(votes, y)
     target = model.posterior(votes)
     # the linear classifier: features that part the posteriors beyond chance get a weight
-    flat = np.concatenate(docs) if docs else np.empty(0, np.int64)
-    row = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
-    names, place = np.unique(flat, return_inverse=True)
-    a, n = np.bincount(place, target[row], len(names)), np.bincount(place, minlength=len(names))
+    names = flat.names
+    a, n = flat.sums(target), np.bincount(flat.place, minlength=len(names))
     share = float(np.clip(target.mean(), 1e-3, 1 - 1e-3))
     gain = 2 * (a * np.log((a + 1e-9) / np.maximum(n, 1) / share + 1e-12) + (n - a) * np.log((n - a + 1e-9) / np.maximum(n, 1) / (1 - share) + 1e-12))
     use = np.flatnonzero((n >= 3) & (gain > 2 * np.log(max((n >= 3).sum(), 2))))
     ids = np.union1d(np.concatenate(lexicons), names[use])
-    at = np.searchsorted(ids, flat)
-    ok = at < len(ids)
-    ok[ok] = ids[at[ok]] == flat[ok]
-    col, row = at[ok], row[ok]
+    here = np.full(len(names), -1, np.int32)
+    known = np.isin(names, ids, assume_unique=True)
+    here[known] = np.searchsorted(ids, names[known])
+    col = here[flat.place]
+    col, row = col[col >= 0], flat.row[col >= 0]
     w, bias, g2, gb2 = np.zeros(len(ids)), float(np.log(max(target.mean(), 1e-3) / max(1 - target.mean(), 1e-3))), np.full(len(ids), 1e-8), 1e-8
     for _ in range(epochs):  # logistic regression by Adagrad over all rows
         p = 1 / (1 + np.exp(-np.clip(bias + np.bincount(row, w[col], len(docs)), -30, 30)))
@@ -261,7 +283,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 8000) -> Model:
 
     got = sample(docs, labels, "toxic", ~held_out(), sample_rows).mapInArrow(run, "label int, features binary, marks array<int>").collect()
     got.sort(key=lambda r: (r[0], bytes(r[1])))
-    return train([(np.frombuffer(r[1], np.uint32).astype(np.int64), list(r[2])) for r in got], np.array([r[0] for r in got], np.int64))
+    return train([(np.frombuffer(r[1], np.uint32), list(r[2])) for r in got], np.array([r[0] for r in got], np.int64))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
