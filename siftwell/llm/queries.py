@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwell.llm import decontaminate, html, jpeg, mixing, ngram_join, oracle, quality, store, substring, tokens, toxicity, warc
+from siftwell.sources import shared
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,7 +19,9 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    cache = tokens.DigestCache(spark, os.environ.get("SIFTWELL_TOKEN_CACHE") or f"{store.shared_dir(spark)}/siftwell/token-cache")
+    # a cache for each state of the table, so that the first run over a table shows the whole work; the variable names one for all
+    state = hashlib.sha256((sf_dir + shared.stamp(spark, f"{sf_dir}/documents.parquet")).encode()).hexdigest()[:32]
+    cache = tokens.DigestCache(spark, os.environ.get("SIFTWELL_TOKEN_CACHE") or f"{store.shared_dir(spark)}/siftwell/token-cache/{state}")
     counts = tokens.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), cache)
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
 

@@ -148,10 +148,12 @@ def count_tokens(docs: DataFrame, model_path: str, cache: DigestCache, batch_byt
             texts = _texts(docs, model_path).join(wanted.hint("merge"), "digest", "left_semi")
         cache.append(_encoded(texts.select("digest", "text").sortWithinPartitions("digest"), model_path, batch_bytes), own)
         store.release(spark)
-    counts = cache.read(own).groupBy("digest").agg(F.min("n_tokens").alias("n_tokens"))
+    # of the cache only what this table holds
+    counts = keyed.read().select("digest").distinct().join(cache.read(own).groupBy("digest").agg(F.min("n_tokens").alias("n_tokens")), "digest")
     counts = counts.join(misses.read().withColumn("cached", F.lit(False)), "digest", "left").withColumn("cached", F.coalesce("cached", F.lit(True)))
-    out = buckets.join_spread(keyed.read(), counts, "digest")
+    counts = store.Table(counts, "token-distinct")
+    out = buckets.join_spread(keyed.read(), counts.read(), "digest")
     done = store.Table(out.select("doc_id", "n_bytes", "n_tokens", "cached"), "token-counts")
-    for t in (keyed, misses):
+    for t in (keyed, misses, counts):
         t.drop()
     return done.read()
