@@ -42,7 +42,8 @@ def join_spread(left: DataFrame, right: DataFrame, key: str, most: int = 1024, c
     """left join right on key, right holding each key at most once, without gathering a frequent key in one task.
 
     Keys that hold at least one in `most` of left's rows, of which there can't be more than `most`, meet a broadcast of their rows
-    of right; rows of left with a null key meet nothing; the others are shuffled. Columns: left's, then right's without the key.
+    of right; rows of left with a null key meet nothing; the others are shuffled. The keys are told apart by a filter, so that no
+    join but the one asked for passes left's rows on. Columns: left's, then right's without the key.
     counts (key, n), if the caller has them, spare a pass over left."""
     width = [c for c in right.columns if c != key]
     if counts is None:
@@ -53,10 +54,9 @@ def join_spread(left: DataFrame, right: DataFrame, key: str, most: int = 1024, c
     rest = left.where(F.col(key).isNotNull())
     if not hot:
         return rest.join(right, key, "left").select(*left.columns, *width).unionByName(lone)
-    names = left.sparkSession.createDataFrame([(k,) for k in hot], left.select(key).schema)
-    few = right.join(F.broadcast(names), key, "left_semi")
-    cold = rest.join(F.broadcast(names), key, "left_anti").join(right, key, "left").select(*left.columns, *width)
-    warm = rest.join(F.broadcast(names), key, "left_semi").join(F.broadcast(few), key, "left").select(*left.columns, *width)
+    frequent = F.col(key).isin([F.lit(k).cast(left.schema[key].dataType) for k in hot])
+    cold = rest.where(~frequent).join(right, key, "left").select(*left.columns, *width)
+    warm = rest.where(frequent).join(F.broadcast(right.where(frequent)), key, "left").select(*left.columns, *width)
     return cold.unionByName(warm).unionByName(lone)
 
 

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from siftwell.llm import decontaminate, fm_index, html, jpeg, mixing, ngram_join, quality, store, substring, tokens, toxicity, warc
+from siftwell.llm import buckets, decontaminate, fm_index, html, jpeg, mixing, ngram_join, quality, store, substring, tokens, toxicity, warc
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n long, sig long"
 
@@ -82,6 +82,21 @@ def test_ngram_join(docs, rows, rule):
     assert got == components({r[0]: r[1] for r in rows}, rule)
 
 
+@pytest.mark.parametrize("kind", ["long", "string", "binary"])
+@pytest.mark.parametrize("frequent", [1, 40])
+def test_spread_join_adds_no_join(spark, kind, frequent):
+    """Frequent keys, whether few or many, go their own way by a filter: no semi or anti join passes the other rows on once more."""
+    ids = spark.range(6_000)
+    left = ids.select(F.when(F.col("id") % 11 != 0, F.when(F.col("id") % 3 == 0, F.col("id") % frequent).otherwise(100 + F.col("id"))).alias("k"), "id")
+    right = spark.range(4_000).where("id % 5 <> 1").selectExpr("id as k", "id * 7 as v")
+    both = [t.withColumn("k", F.col("k").cast("string").cast(kind)) for t in (left, right)]
+    got = buckets.join_spread(*both, "k", most=200)
+    want = sorted((i, 7 * k if (k := i % frequent if i % 3 == 0 else 100 + i) < 4_000 and k % 5 != 1 and i % 11 else -1) for i in range(6_000))
+    assert sorted((r.id, -1 if r.v is None else r.v) for r in got.collect()) == want
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join LeftOuter") == plan.count("Join ") == 2, plan
+
+
 def cut_repeats(texts, width=13):
     first, out = {}, {}
     for i in sorted(texts):
