@@ -340,6 +340,38 @@ def test_mixing_many_sources_large_tables_and_clashes(spark):
     assert len({r["_mix_slot"] for r in rows}) <= 40 + 6 and max(r["_mix_place"] for r in rows) == 15
 
 
+def fluid(n, w, at):
+    """What has flowed of each source when `at` rows have in all."""
+    v, left, open_ = 0, at, sorted(n, key=lambda s: n[s] / w[s])
+    while open_ and left > 0:
+        rate = sum(w[s] for s in open_)
+        step = min(n[open_[0]] / w[open_[0]] - v, left / rate)
+        v, left = v + step, left - step * rate
+        open_ = [s for s in open_ if n[s] / w[s] - v > 1e-9]
+    return {s: min(n[s], w[s] * v) for s in n}
+
+
+@pytest.mark.parametrize("weighted", [False, True])
+def test_mixing_keeps_to_the_weights_beyond_max_sources(spark, weighted):
+    """No source, planned alone or not, is a block away from its target at any slot."""
+    r = random.Random(5)
+    n = {"a": 400, None: 12, "\x00others": 8} | {f"{c}{i}": 40 if weighted else r.choice([4, 8, 20]) for c in "hl" for i in range(10)}
+    w = {s: 4.0 if str(s)[0] == "h" else 1.0 for s in n} if weighted else {s: k**0.5 for s, k in n.items()}
+    size = 4 if weighted else 1
+    data = [(i, s) for i, s in enumerate(s for s, k in n.items() for _ in range(k))]
+    docs = spark.createDataFrame(data, "doc_id long, source string")
+    given = {s: x for s, x in w.items() if x != 1} if weighted else None
+    got = sorted(mixing.mix(docs, given, block_rows=size, max_sources=2).collect(), key=lambda x: (x.mix_slot, x.mix_place))
+    assert sorted((x.doc_id, x.source) for x in got) == data
+    assert [(x.mix_slot, x.mix_place) for x in got] == [(k // size, k % size) for k in range(len(data))]
+    seen = dict.fromkeys(n, 0)
+    for k, x in enumerate(got, 1):
+        seen[x.source] += 1
+        if k % size == 0:
+            want = fluid(n, w, k)
+            assert all(abs(seen[s] - want[s]) <= size + 1e-6 for s in n), (k, {s: (seen[s], want[s]) for s in n if abs(seen[s] - want[s]) > size})
+
+
 def test_null_and_repeated_ids_in_join_and_decontamination(spark):
     r = random.Random(7)
     base, alone, item = words(r, 120), words(r, 80), words(r, 40)
