@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType
+from pyspark.sql.types import ArrayType, IntegerType, StructType
+
+from siftwell.functions import batches
 
 SPACE = r"(?U)\s"
+cloudpickle.register_pickle_by_value(batches)  # so that workers need no copy of this package
 
 
 def load_words(spark: SparkSession, path: str) -> frozenset[str]:
@@ -116,13 +121,55 @@ def with_tokens(df: DataFrame, text_col: str, analyzer: Analyzer = STANDARD, gap
     return out.withColumn(name, tokens).drop("__pieces", "__starts")
 
 
+def quick(df: DataFrame, text_col: str, analyzer: Analyzer, gap: int = 0) -> bool:
+    """Whether `batches` can do an analyzer's work: one that splits at spaces and has no filters of tokens."""
+    gapped = gap and df.schema[text_col].dataType.typeName() == "array"
+    return analyzer.separator == SPACE and not analyzer.keep_empty and not analyzer.filters and not gapped
+
+
+def in_batches(df: DataFrame, id_col: str, text_col: str, analyzer: Analyzer, work: Callable, schema: str, **options) -> DataFrame:
+    """id and the columns of schema, a row per token or posting, by whole batches of texts."""
+    plan = batches.Plan(tuple(sorted(analyzer.stop)), analyzer.max_length, tuple((w, tuple(more)) for w, more in analyzer.synonyms), **options)
+    values = F.col(text_col) if df.schema[text_col].dataType.typeName() == "array" else F.array(text_col)
+    values = F.filter(values, lambda v: v.isNotNull()).cast("array<string>")
+
+    def filtered(text: Column) -> Column:
+        for f in analyzer.char_filters:
+            text = f(text)
+        return text
+
+    values = F.transform(values, filtered) if analyzer.char_filters else values
+    rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.array_join(values, " "), F.lit("")).alias("raw"))
+    if not analyzer.lowercase:
+        rows = rows.select("id", F.col("raw").alias("text"))
+    elif plan.offsets:  # of the text as it was, which differs from its lower case in code points where a letter becomes two
+        rows = rows.select("id", F.lower("raw").alias("text"), "raw")
+        rows = rows.select("id", "text", F.when(F.length("text") != F.length("raw"), F.col("raw")).alias("raw"))
+    else:
+        rows = rows.select("id", F.lower("raw").alias("text"))
+
+    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return work(found, plan)
+
+    types = StructType([df.select(F.col(id_col).alias("id")).schema["id"], *StructType.fromDDL(schema)])
+    return rows.mapInArrow(run, types).withColumnRenamed("id", id_col)
+
+
+TOKENS = "term string, pos int, start int, end int, pos_inc int"
+
+
 def token_table(df: DataFrame, id_col: str, text_col: str, analyzer: Analyzer = STANDARD, gap: int = 0, offsets: bool = True) -> DataFrame:
     """One row per token: id, term, pos, start, end; see with_tokens."""
+    if quick(df, text_col, analyzer, gap):
+        return in_batches(df, id_col, text_col, analyzer, batches.token_batches, TOKENS, offsets=offsets).drop("pos_inc")
     return with_tokens(df.select(id_col, text_col), text_col, analyzer, gap, offsets).select(id_col, F.inline("__tokens"))
 
 
 def attributes(df: DataFrame, id_col: str, text_col: str, analyzer: Analyzer = STANDARD, gap: int = 0) -> DataFrame:
     """token_table with the other attributes of a token: pos_inc (to the token before), pos_length, type, payload, term_freq."""
+    if quick(df, text_col, analyzer, gap):
+        rest = {"pos_length": F.lit(1), "type": F.lit("word"), "payload": F.lit(None).cast("binary"), "term_freq": F.lit(1)}
+        return in_batches(df, id_col, text_col, analyzer, batches.token_batches, TOKENS, offsets=True).withColumns(rest)
     tokens = with_tokens(df.select(id_col, text_col), text_col, analyzer, gap).withColumn("__before", F.concat(F.array(F.lit(-1)), F.col("__tokens.pos")))
     rows = F.transform("__tokens", lambda t, i: F.struct(
         t["term"].alias("term"), t["pos"].alias("pos"), t["start"].alias("start"), t["end"].alias("end"), (t["pos"] - F.get("__before", i)).alias("pos_inc"), F.lit(1).alias("pos_length"),

@@ -40,7 +40,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 FIELDS = {"text": Text(positions=True, offsets=True), "source": Keyword(), "lang": Keyword()}
 #: Changes with the layout of the store, so that no index of another layout is read.
-LAYOUT = "2"
+LAYOUT = "3"
 _open: dict[tuple[str, str], Index] = {}
 
 

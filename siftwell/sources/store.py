@@ -2,7 +2,7 @@
 
     path/docs/<segment>       rows, in the index's sort order if it has one
     path/postings/<segment>   dealt by ranges of (field, term, doc_id) and sorted by them: no term, however frequent, is one task or file,
-                              and lookups, prefixes and ranges prune files and row groups
+                              and lookups, prefixes and ranges prune files and row groups; positions and offsets are packed as bytes
     path/terms/<segment>      term statistics        path/fields/<segment>   field statistics
     path/impacts/<segment>    best counts and lengths of each term by block of documents
     path/points/<segment>     point columns clustered along a space-filling curve, if asked for
@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwell.sources import shared
-from siftwell.sources.index import FieldConfig, Index, Keyword, impacts, postings_of, problems, statistics
+from siftwell.sources.index import FieldConfig, Index, Keyword, competitive, impacts_in_order, postings_of, problems, statistics, unpacked
 from siftwell.sources.points import clustered
 
 KINDS = ("docs", "raw", "postings", "terms", "fields", "impacts", "points", "tombstones")
@@ -154,27 +154,37 @@ class IndexStore:
     def _write(self, docs: DataFrame) -> None:
         name = uuid.uuid4().hex
         rows = docs.sortWithinPartitions(*self.sort_by) if self.sort_by else docs
-        rows.write.parquet(f"{self.path}/docs/{name}")
-        docs = self.spark.read.parquet(f"{self.path}/docs/{name}")
+        self._put(rows, f"docs/{name}")
+        docs = self._get(f"docs/{name}")
         # a few large files make few tasks: deal their rows out; ranges are then taken of written postings, not of a second analysis
-        raw = f"{self.path}/raw/{name}"
-        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        postings_of(docs.repartition(n) if len(docs.inputFiles()) < n else docs, self.fields).write.parquet(raw)
-        self.spark.read.parquet(raw).repartitionByRange("field", "term", "doc_id").sortWithinPartitions("field", "term", "doc_id").write.parquet(f"{self.path}/postings/{name}")
-        shared.delete(self.spark, raw)
-        postings = self.spark.read.parquet(f"{self.path}/postings/{name}")
+        cores = self.spark.sparkContext.defaultParallelism
+        self._put(postings_of(docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs, self.fields, packed=True), f"raw/{name}")
+        raw = self._get(f"raw/{name}")
+        self._put(raw.drop("problem").repartitionByRange("field", "term", "doc_id").sortWithinPartitions("field", "term", "doc_id"), f"postings/{name}")
+        postings = self._get(f"postings/{name}")
         if any(not isinstance(f, Keyword) and (f.positions or f.max_term_bytes is not None) for f in self.fields.values()):
-            wrong = problems(postings, self.fields).limit(3).collect()
+            wrong = problems(raw, self.fields).groupBy("field", "problem").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")).collect()  # a row per kind
             if wrong:
                 raise ValueError(f"not indexed: {wrong}")
-        by_field, by_term = statistics(postings)
-        by_term.repartitionByRange("field", "term").sortWithinPartitions("field", "term").write.parquet(f"{self.path}/terms/{name}")
-        impacts(postings).repartitionByRange("field", "term", "block").sortWithinPartitions("field", "term", "block").write.parquet(f"{self.path}/impacts/{name}")
-        by_field.coalesce(1).write.parquet(f"{self.path}/fields/{name}")
+        # documents lie together in the raw postings and terms in the sorted ones: partial sums leave little to shuffle
+        self._put(statistics(raw)[0].coalesce(1), f"fields/{name}")
+        self._put(statistics(postings)[1].repartitionByRange("field", "term").sortWithinPartitions("field", "term"), f"terms/{name}")
+        shared.delete(self.spark, f"{self.path}/raw/{name}")
+        self._put(impacts_in_order(postings), f"raw/{name}")
+        best = self._get(f"raw/{name}")
+        self._put(best.where("not edge").drop("edge"), f"impacts/{name}")
+        self._put(competitive(best.where("edge").drop("edge")).coalesce(1).sortWithinPartitions("field", "term", "block"), f"impacts/{name}", "append")
+        shared.delete(self.spark, f"{self.path}/raw/{name}")
         if self.points:
             clustered(docs.select("doc_id", *self.points), self.points).write.parquet(f"{self.path}/points/{name}")
         self._segments.append(name)
 
+    def _put(self, rows: DataFrame, to: str, mode: str = "error") -> None:
+        rows.write.mode(mode).option("compression", "zstd").parquet(f"{self.path}/{to}")
+
+    def _get(self, path: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/{path}")
+
     def _bury(self, condition: Column, soft: bool) -> None:
         found = [self.spark.read.parquet(f"{self.path}/docs/{s}").where(condition).select("doc_id", F.lit(s).alias("segment"), F.lit(soft).alias("soft")) for s in self._segments]
         if found:
@@ -280,7 +290,7 @@ class IndexStore:
             gone = self._graves(tombstones, not include_soft)
             docs, postings = docs.join(gone, ["doc_id", "segment"], "left_anti"), postings.join(gone, ["doc_id", "segment"], "left_anti")
         points = self._rows("points", segments).drop("segment") if self.points else None
-        return Index(docs.drop("segment"), postings.drop("segment"), by_field.drop("segment"), by_term.drop("segment"), None, self.fields, max_doc, points, False, self._rows("impacts", segments).drop("segment"))
+        return Index(docs.drop("segment"), unpacked(postings.drop("segment")), by_field.drop("segment"), by_term.drop("segment"), None, self.fields, max_doc, points, False, self._rows("impacts", segments).drop("segment"))
 
 
 def reader(spark: SparkSession, path: str, fields: dict[str, FieldConfig], points: list[str] | None = None) -> IndexStore:
