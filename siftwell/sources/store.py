@@ -18,9 +18,11 @@ import json
 import time
 import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -167,18 +169,26 @@ class IndexStore:
             if wrong:
                 raise ValueError(f"not indexed: {wrong}")
         # documents lie together in the raw postings and terms in the sorted ones: partial sums leave little to shuffle
-        self._put(statistics(raw)[0].coalesce(1), f"fields/{name}")
-        self._put(statistics(postings)[1].repartitionByRange("field", "term").sortWithinPartitions("field", "term"), f"terms/{name}")
-        shared.delete(self.spark, f"{self.path}/raw/{name}")
-        self._put(impacts_in_order(postings), f"raw/{name}")
-        best = self._get(f"raw/{name}")
+        self._together(
+            lambda: self._put(statistics(raw)[0].coalesce(1), f"fields/{name}"),
+            lambda: self._put(statistics(postings)[1].repartitionByRange("field", "term").sortWithinPartitions("field", "term"), f"terms/{name}"),
+            lambda: self._put(impacts_in_order(postings), f"raw/{name}-best"),
+        )
+        best = self._get(f"raw/{name}-best")
         self._put(best.where("not edge").drop("edge"), f"impacts/{name}")
         self._put(competitive(best.where("edge").drop("edge")).coalesce(1).sortWithinPartitions("field", "term", "block"), f"impacts/{name}", "append")
-        shared.delete(self.spark, f"{self.path}/raw/{name}")
+        for used in (name, f"{name}-best"):
+            shared.delete(self.spark, f"{self.path}/raw/{used}")
         if self.points:
             clustered(docs.select("doc_id", *self.points), self.points).write.parquet(f"{self.path}/points/{name}")
         self._segments.append(name)
 
+    def _together(self, *steps: Callable[[], None]) -> None:
+        """Runs jobs that don't need one another at once: a small commit is made of short jobs, one after the other."""
+        with ThreadPoolExecutor(len(steps)) as pool:
+            for done in [pool.submit(inheritable_thread_target(self.spark)(step)) for step in steps]:
+                done.result()
+
     def _put(self, rows: DataFrame, to: str, mode: str = "error") -> None:
         rows.write.mode(mode).option("compression", "zstd").parquet(f"{self.path}/{to}")
 

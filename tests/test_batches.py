@@ -62,3 +62,12 @@ def test_impacts_of_split_files(spark, tmp_path):
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_a_commit_shuffles_no_impacts_and_reports_failures(spark, tmp_path):
+    with IndexStore(spark, str(tmp_path / "i"), {"text": I.Text()}) as s:
+        s.add(spark.createDataFrame([(1, "a b a")], "doc_id long, text string"))
+    written = spark.read.parquet(str(tmp_path / "i" / "postings" / "*"))
+    assert "Exchange" not in I.impacts_in_order(written)._jdf.queryExecution().executedPlan().toString()
+    with pytest.raises(ZeroDivisionError):
+        s._together(lambda: None, lambda: 1 / 0)
